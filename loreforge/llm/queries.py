@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP9_SQL, op9_decontamination
 from .substring import op4_substring_dedup
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": OP9_SQL,
+}

@@ -31,9 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .storage import written
 
 WINDOW = 35
-GRAM = 12
+GRAM = 8
+#: Anchors that are sent to all executors at most (8 bytes each, some 100 MB as a hash table); more are joined by a shuffle.
+BROADCAST_ANCHORS = 1_000_000
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _U = np.uint64
 
@@ -100,7 +103,8 @@ def _occurrences(window: int):
 
 
 def _windows(window: int):
-    """The windows of the blocks that a text stands for in the index."""
+    """The windows of the blocks that a text stands for in the index. Those of a
+    block that occurs twice come a second time under another content hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,19 +121,16 @@ def _windows(window: int):
                 need, at = np.unique(tag(row, wa.view(np.uint64), wb.view(np.uint64)), return_index=True)
                 _, pick = np.unique(have, return_index=True)
                 pick = pick[np.isin(have[pick], need, assume_unique=True)]
-                n = wn[at[np.searchsorted(need, have[pick])]]
+                twice = wn[at[np.searchsorted(need, have[pick])]] >= 2
+                pick, other = np.r_[pick, pick[twice]], np.r_[np.zeros(len(pick), np.uint64), np.ones(twice.sum(), np.uint64)]
+                if not len(pick):
+                    continue
                 rep = np.repeat(np.arange(len(pick)), blocks.count[pick])
-                x = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks.count[pick])[:-1]], blocks.count[pick]) if len(pick) else rep
+                x = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks.count[pick])[:-1]], blocks.count[pick])
                 p = pick[rep]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(W.signed(blocks.anchor[p])),
-                        pa.array(W.signed(blocks.content[p])),
-                        pa.array(x.astype(np.int32)),
-                        pa.array(W.signed(blocks.win[blocks.first[p] + x])),
-                        pa.array(n[rep].astype(np.int64)),
-                    ],
-                    ["a", "b", "x", "w", "n"],
+                    [pa.array(W.signed(blocks.anchor[p])), pa.array(W.signed(blocks.content[p] ^ other[rep])), pa.array(x.astype(np.int32)), pa.array(W.signed(blocks.win[blocks.first[p] + x]))],
+                    ["a", "b", "x", "w"],
                 )
 
     return run
@@ -138,12 +139,12 @@ def _windows(window: int):
 _OUT = "n_words long, n_removed long, factors array<struct<start:long,length:long,ref_doc:long>>, kept_text string"
 
 
-def _apply(window: int, id_col: str):
+def _apply(window: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, ids = batch.column("found"), batch.column(id_col)
+            found, ids, k2 = batch.column("found"), batch.column("id"), batch.column("k2").to_numpy()
             for lo, hi, buf, offs in W.chunks(W.texts_of(batch, "text")):
                 hits = found.slice(lo, hi - lo)
                 size = np.where(hits.is_valid().to_numpy(zero_copy_only=False), np.diff(hits.offsets.to_numpy()), 0)
@@ -153,21 +154,24 @@ def _apply(window: int, id_col: str):
                 for r in range(hi - lo):
                     parts = buf[offs[r] : offs[r + 1]].tobytes().split()
                     if size[r]:
-                        parts, factors[r], removed[r] = _parse(parts, hits[r].values, blocks, r, window)
+                        parts, factors[r], removed[r] = _parse(parts, hits[r].values, int(k2[lo + r]), blocks, r, window)
                     kept.append(b" ".join(parts))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n_words), pa.array(removed), pa.array(factors, kind), pa.array(kept, pa.binary()).cast(pa.string())],
-                    [id_col, "n_words", "n_removed", "factors", "kept_text"],
+                    ["id", "n_words", "n_removed", "factors", "kept_text"],
                 )
 
     return run
 
 
-def _parse(parts: list[bytes], hits: pa.Array, blocks: Blocks, r: int, window: int) -> tuple[list[bytes], list[dict], int]:
+def _parse(parts: list[bytes], hits: pa.Array, key: int, blocks: Blocks, r: int, window: int) -> tuple[list[bytes], list[dict], int]:
     """Factors of one text, from the verdicts on its blocks, and what is left."""
     base, lead = blocks.word_offs[r], int(np.searchsorted(blocks.row, r))
-    i, mask, ref = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("i", "mask", "ref"))
-    order = np.argsort(i, kind="stable")
+    k2, i, mask, ref = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("k2", "i", "mask", "ref"))
+    own = np.flatnonzero(k2 == key)  # texts can share an id; equal rows have their hits twice
+    order = own[np.unique(i[own], return_index=True)[1]]
+    if not len(order):
+        return parts, [], 0
     i, mask, ref = i[order] + lead, mask[order], ref[order]
     rep = np.repeat(np.arange(len(i)), blocks.count[i])
     x = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks.count[i])[:-1]], blocks.count[i])
@@ -200,26 +204,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 2 <= window <= 64:
         raise ValueError("window must be 2 to 64")
+    kind = dict(docs.select(id_col).dtypes)[id_col]
     k1, k2 = _key(id_col, text_col)
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text"), k1, k2)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), k1, k2)
     occ = texts.select("text", "k1", "k2").mapInArrow(_occurrences(window), "a long, b long, k1 long, k2i long")
 
-    index = occ.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("ref"))
-    many = index.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d >= 2").select("a")
-    edge = index.join(many, "a")
+    index = written(occ.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("ref")), "op4-index")
+    many = written(index.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d >= 2").select("a"), "op4-anchors")
+    edge = index.join(F.broadcast(many) if many.count() <= BROADCAST_ANCHORS else many, "a")
     asked = edge.groupBy(F.col("ref").alias("k1")).agg(F.collect_list(F.struct("a", "b", "n")).alias("asked"))
-    win = texts.join(asked, "k1", "left").select("text", "asked").mapInArrow(_windows(window), "a long, b long, x int, w long, n long")
-    again = win.groupBy("a", "w").agg(F.max("n").alias("n"), F.min("b").alias("b0"), F.max("b").alias("b1")).filter("n >= 2 or b0 <> b1").select("a", "w")
-    part = win.filter("n = 1").join(again, ["a", "w"]).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1L, x))").alias("mask"))
-    verdict = index.filter("n >= 2").select("a", "b", F.lit(-1).cast("long").alias("mask"), "ref").unionByName(index.filter("n = 1").join(part, ["a", "b"]).select("a", "b", "mask", "ref"))
-    found = (
-        occ.join(verdict, ["a", "b"])
-        .select("k1", F.expr("cast(shiftright(k2i, 32) as int)").alias("k2"), F.struct(F.expr("k2i & 4294967295L").alias("i"), "mask", "ref").alias("hit"))
-        .groupBy("k1", "k2")
-        .agg(F.collect_list("hit").alias("found"))
-    )
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    return texts.join(found, ["k1", "k2"], "left").select(id_col, "text", "found").mapInArrow(_apply(window, id_col), f"`{id_col}` {kind}, {_OUT}")
+    # both joins take the texts dealt by k1, with the same columns: one exchange serves both
+    win = texts.join(asked, "k1", "left").select("id", "text", "k2", "asked").mapInArrow(_windows(window), "a long, b long, x int, w long")
+    again = win.groupBy("a", "w").agg(F.min("b").alias("b0"), F.max("b").alias("b1")).filter("b0 <> b1").select("a", "w")
+    part = win.join(again, ["a", "w"]).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1L, x))").alias("mask"))
+    whole = index.filter("n >= 2").select("a", "b", F.lit(-1).cast("long").alias("mask"), "ref")
+    verdict = whole.unionByName(edge.filter("n = 1").join(part, ["a", "b"]).select("a", "b", "mask", "ref"))
+    hit = F.struct(F.expr("cast(shiftright(k2i, 32) as int)").alias("k2"), F.expr("cast(k2i & 4294967295L as int)").alias("i"), "mask", "ref")
+    found = occ.join(verdict, ["a", "b"]).select("k1", hit.alias("hit")).groupBy("k1").agg(F.collect_list("hit").alias("found"))
+    out = texts.join(found, "k1", "left").select("id", "text", "k2", "found").mapInArrow(_apply(window), f"id {kind}, {_OUT}")
+    return out.withColumnRenamed("id", id_col)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontamination
+from .lines import OP8_SQL, op8_line_dedup
+from .mixing import OP7_SQL, op7_mixing
+from .near_dup import op6_near_dedup
 from .substring import op4_substring_dedup
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op9_decontamination": OP9_SQL,
 }

@@ -84,11 +84,11 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), t AS (
-  SELECT doc_id, at, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM l
+  SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM l
 ), n AS (
-  SELECT doc_id, at, body, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i FROM t WHERE body <> ''
+  SELECT doc_id, pos, body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM t WHERE body <> ''
 ), w AS (
   SELECT a.doc_id, a.i, a.body || chr(10) || b.body AS run FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i = a.i + 1
 ), o AS (
@@ -96,8 +96,8 @@ WITH l AS (
 ), gone AS (
   SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM o WHERE nth > 1
 ), k AS (
-  SELECT t.doc_id, string_agg(t.line, chr(10) ORDER BY t.at) FILTER (WHERE g.i IS NULL) AS kept, count(n.i) AS n_lines, count(g.i) AS n_removed
-  FROM t LEFT JOIN n USING (doc_id, at) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY t.doc_id
+  SELECT t.doc_id, string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE g.i IS NULL) AS kept, count(n.i) AS n_lines, count(g.i) AS n_removed
+  FROM t LEFT JOIN n USING (doc_id, pos) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY t.doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN k USING (doc_id)

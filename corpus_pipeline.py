@@ -1,8 +1,67 @@
-"""The corpus pipeline: stages over documents, each on all its predecessor kept."""
+"""The corpus pipeline: documents pass five stages, each working on all that the
+one before it kept. Every stage takes (spark, docs, sf_dir) and returns a frame,
+which is written as Parquet and read again as the next one's docs."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loreforge.llm.decontaminate import contamination
+from loreforge.llm.lines import line_dedup
+from loreforge.llm.mixing import mix
+from loreforge.llm.near_dup import near_dedup
+from loreforge.llm.quality import quality_filter
+from loreforge.llm.storage import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base or that the weighed rules find bad go."""
+    return quality_filter(docs)
+
+
+def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines go; a document that loses all goes too.
+    n_chars follows the text."""
+    out = line_dedup(docs)
+    gone = (F.col("n_removed") > 0) & (F.col("n_removed") >= F.col("n_lines"))
+    out = out.filter(~gone).withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))})
+    return out.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of copies and near copies the least doc_id stays."""
+    return near_dedup(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_repeats),
+    ("near-dedup", near_copies),
+    ("decontamination", benchmark_free),
+    ("mixing", mixture),
+]
+
+#: EM and near-duplicate classes have no SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{i + 1}")
+    return docs

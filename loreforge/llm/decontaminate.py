@@ -25,6 +25,7 @@ N = 13
 BROADCAST_WORDS = 100_000
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SPANS = "array<struct<start:int,length:int>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +96,7 @@ def _covered(hits: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Adds to each document's id and text: n_words, n_hit (words inside any
+    """Adds to the columns of docs: n_words, n_hit (words inside any
     window occurrence), items (sorted ids, as strings, of items with occurring
     windows), spans (start and length in words of the occurrences, sorted) and
     contaminated (n_hit > 0 and 20 * n_hit >= n_words).
@@ -103,29 +104,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null and empty texts, and items without words, have no words and no windows.
     Items with one id count once; an item whose id is null marks words but is
     not listed. Rows that repeat id and text each get the same result. Columns
-    other than the named ones are ignored. With an empty benchmark nothing is
+    of docs that have the names of the added ones are replaced. With an empty benchmark nothing is
     hit; an empty docs table gives an empty result.
     """
     windows = benchmark_windows(benchmark, n, item_col, item_text_col)
     stats = benchmark.select(F.size(normal_words(F.col(item_text_col))).alias("n")).filter("n > 0").agg(F.sum("n"), F.collect_set(F.least("n", F.lit(n)))).first()
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
-    out = keyed.select("id", "text", "k1", "k2", F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    k1, k2 = row_key(id_col, text_col)
+    keyed = docs.select(F.col(text_col).alias("text"), k1, k2)
+    added = {"n_words": F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long"), "__k1": k1, "__k2": k2}
+    out = docs.drop("n_words", "n_hit", "items", "spans", "contaminated").withColumns(added)
     if stats[0]:
         hits = window_hits(keyed, windows, n, stats[0] <= broadcast_words, stats[1])
         per = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-        per = per.select(
-            "k1",
-            "k2",
-            F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"))))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
-        )
-        out = out.join(per, ["k1", "k2"], "left")
+        spans = F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"))))
+        items = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))
+        per = per.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.array_sort(spans).alias("spans"), F.array_sort(items).alias("items"))
+        out = out.join(per, ["__k1", "__k2"], "left")
     else:
-        out = out.withColumns({"spans": F.lit(None).cast("array<struct<start:int,length:int>>"), "items": F.lit(None).cast("array<string>")})
-    none = F.array()
-    out = out.select("id", "text", "n_words", F.coalesce("spans", none.cast("array<struct<start:int,length:int>>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
-    out = out.withColumn("n_hit", _covered(F.col("spans")))
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        out = out.withColumns({"spans": F.lit(None).cast(_SPANS), "items": F.lit(None).cast("array<string>")})
+    out = out.withColumns({"spans": F.coalesce("spans", F.array().cast(_SPANS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = out.withColumn("n_hit", _covered(F.col("spans"))).drop("__k1", "__k2")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def without_spans(found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

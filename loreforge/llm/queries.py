@@ -6,9 +6,11 @@ from .decontaminate import OP9_SQL, op9_decontamination
 from .lines import OP8_SQL, op8_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near_dup import op6_near_dedup
+from .quality import op1_quality_rules
 from .substring import op4_substring_dedup
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_mixing": op7_mixing,

@@ -63,7 +63,7 @@ def test_fixture(spark):
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b", "q")], "doc_id long, text string, gram string")
     none = spark.createDataFrame([], "item_id long, text string")
-    assert [tuple(r)[2:4] for r in contamination(d, none).collect()] == [(2, 0)]
+    assert [(r.n_words, r.n_hit, r.gram) for r in contamination(d, none).collect()] == [(2, 0, "q")]
     assert contamination(d.limit(0), d.selectExpr("doc_id item_id", "text")).count() == 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontamination
 from .lines import OP8_SQL, op8_line_dedup
+from .maxent import op10_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
 from .near_dup import op6_near_dedup
 from .quality import op1_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {

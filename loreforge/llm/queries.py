@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import op2_chat_formatting
 from .decontaminate import OP9_SQL, op9_decontamination
+from .html_main import op5_html_extraction
 from .lines import OP8_SQL, op8_line_dedup
 from .maxent import op10_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
@@ -12,7 +14,9 @@ from .substring import op4_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_near_dedup": op6_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,

@@ -10,11 +10,13 @@ from .maxent import op10_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
 from .near_dup import op6_near_dedup
 from .quality import op1_quality_rules
+from .rollup import op3_token_rollup
 from .substring import op4_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_token_rollup": op3_token_rollup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_near_dedup": op6_near_dedup,

@@ -137,7 +137,7 @@ def opening(c: Column, n: int = 40) -> Column:
 
 def valid_date(c: Column) -> Column:
     """The text if it is a date YYYY-MM-DD, else null."""
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull(), c)
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), c)
 
 
 def glob_regex(pattern: str) -> str:

@@ -50,11 +50,11 @@ def capture(stream: DataFrame, table: Versions, checkpoint: str, then: Callable[
 
 def hourly_usage(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
     """usage_rollup by hour on a stream of calls (ts), late ones within `late`."""
-    rows = calls.withWatermark("ts", late) if calls.isStreaming else calls
+    rows = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if calls.isStreaming else calls
     return usage_rollup(rows, F.window("ts", "1 hour")).withColumn("hour", F.col("window.start")).drop("window")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions per user on a stream: events within the gap belong together."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at")).drop("w")

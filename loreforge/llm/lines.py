@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import let, row_key
+from .storage import written
 
 MIN_RUN = 2
 _WHITE = " \t\n\x0b\x0c\r"
@@ -35,7 +36,7 @@ def _windows(hashes: Column, w: int) -> Column:
         hashes,
         lambda h: F.transform(
             _upto(F.size(h) - (w - 1)),
-            lambda i: let(F.slice(h, i + 1, F.lit(w)), lambda s: F.struct(i.alias("i"), F.array_min(s).alias("fp"), (i + F.array_position(s, F.array_min(s)) - 1).alias("at"), F.xxhash64(s).alias("run"))),
+            lambda i: let(F.slice(h, i + 1, F.lit(w)), lambda s: F.struct(i.alias("i"), F.array_min(s).alias("fp"), (i + F.array_position(s, F.array_min(s)) - 1).alias("at"), F.xxhash64(s).alias("run"), F.xxhash64(F.lit(17), s).alias("run2"))),
         ),
     )
 
@@ -60,11 +61,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     win = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.explode(_windows(hashes, min_run)).alias("v")).select("k1", "k2", "v.*")
 
     # the windows of one fingerprint place travel together
-    places = win.groupBy("k1", "k2", "fp", "at").agg(F.collect_set(F.struct("i", "run")).alias("runs"))
-    often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    runs = places.join(often, "fp").select("k1", "k2", "fp", F.explode("runs").alias("r")).select("k1", "k2", "fp", "r.*")
-    first = runs.groupBy("fp", "run").agg(F.min(F.struct("k1", "k2", "i")).alias("first"))
-    later = runs.join(first, ["fp", "run"]).filter(F.struct("k1", "k2", "i") > F.col("first"))
+    places = win.groupBy("k1", "k2", "fp", "at").agg(F.collect_set(F.struct("i", "run", "run2")).alias("runs"))
+    # counts are read from tables, so that Spark can split the rows of a hot line in the joins
+    often = written(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"), "op8-often")
+    runs = places.join(often, "fp").select("k1", "k2", F.explode("runs").alias("r")).select("k1", "k2", "r.*")
+    first = written(runs.groupBy("run", "run2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "i")).alias("first")).filter("n > 1").drop("n"), "op8-first")
+    later = runs.join(first, ["run", "run2"]).filter(F.struct("k1", "k2", "i") > F.col("first"))
     marked = later.groupBy("k1", "k2").agg(F.collect_set("i").alias("__late")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
 
     out = keyed.withColumns({"__lines": F.split(F.col(text_col), "\n"), "__n": F.coalesce(F.size(full), F.lit(0))}).join(marked, ["__k1", "__k2"], "left")

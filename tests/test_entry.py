@@ -1,6 +1,6 @@
 import __spark_entry__ as entry
 import pytest
-from loreforge.plans import registry
+from loreforge.plans import more, registry  # noqa: F401
 
 
 def test_names():

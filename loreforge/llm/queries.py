@@ -11,7 +11,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .near_dup import op6_near_dedup
 from .quality import op1_quality_rules
 from .rollup import op3_token_rollup
-from .substring import op4_substring_dedup
+from .substring import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": OP4_SQL,
     "op7_mixing": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_decontamination": OP9_SQL,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import shared_path
+from .storage import shared_path, written
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,8 @@ def op3_token_rollup(spark, sf_dir: str) -> DataFrame:
     rollup.commit("load", docs.withColumn("op", F.lit("insert")))
     rollup.commit("load", docs.withColumn("op", F.lit("insert")))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2"))
-    first = keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # read from a table, so that Spark can split the rows of a hot text in the join
+    first = written(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "op3-copied")
     copies = keyed.join(first, ["t1", "t2"]).filter("doc_id > first")
     rollup.commit("copies", copies.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit("delete").alias("op")))
     return rollup.totals()

@@ -52,13 +52,16 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     salt = W.mix(np.arange(1, len(n_words) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def within(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        return np.diff(np.r_[0, np.cumsum(flags, dtype=np.int64)][edges])
+        total = np.zeros(len(flags) + 1, np.int32)  # a text has under 2 GB
+        np.cumsum(flags, dtype=np.int32, out=total[1:])
+        return np.diff(total[edges])
 
     inside = ~W.WHITE[buf]
     lead = (buf & 0xC0) != 0x80
     out = {"n_words": n_words, "word_chars": within(inside & lead, offs), "n_symbols": within(_SYMBOL[buf], offs), "n_letters": within(_LETTER[buf], offs), "n_upper": within(_UPPER[buf], offs)}
     out["n_ends"] = within(_END[buf[ends - 1]], at)
-    alnum = np.r_[0, np.cumsum(_ALNUM[buf], dtype=np.int64)]
+    alnum = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(_ALNUM[buf], dtype=np.int32, out=alnum[1:])
     out["n_bare"] = within(alnum[ends] == alnum[starts], at)
     key = W.mix(h + salt[row])
     first = np.zeros(len(key), bool)

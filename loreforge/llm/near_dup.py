@@ -16,9 +16,13 @@ all their sketches (the original of many copies and the copies nearest to it);
 their members are dealt further into buckets of two and then of four
 neighbouring sketches, treated in the same way. So the pairs grow with the
 nodes, not with their square: a group of near copies of one text is joined
-through that text. What this can miss, beside the chance of any sketch, is a
-node whose only links lead past the hubs to texts with which it shares no small
-bucket.
+through that text. The links that lead past the hubs are found by a last pass:
+where the members of a large bucket are still in several components, those
+outside the bucket's main component are compared with all its members, in
+blocks that are tasks of their own, by exact counts of common shingles. So every
+two texts with a common sketch that are a link end in one class, and what can be
+missed is the chance of the sketches alone. Only links, one or a few for two
+components, leave a block; its pairs never become rows.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ PAIR_UP = 32
 HUBS = 6
 #: Parts of a large bucket that are ranked apart.
 PARTS = 64
+#: Most characters and texts (about) of a block in which the rest of a large bucket is compared.
+BLOCK_CHARS, BLOCK_TEXTS = 1 << 18, 256
 #: Sketches in a bucket's key; members of large buckets go on to the next.
 WIDTHS = (1, 2, 4)
 _U = np.uint64
@@ -164,6 +170,23 @@ def _band(pairs: list[tuple[np.ndarray, np.ndarray]], b: int) -> np.ndarray:
     return out
 
 
+def _alignment(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Similarity of all pairs under the banded alignment, -1 where it is too far below `threshold`."""
+    edit = np.full(len(pairs), -1.0)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+    lo = 0
+    while lo < len(order):  # pairs of like length together, within some MB
+        hi = lo + 1
+        while hi < len(order) and hi - lo < 256 and (hi - lo + 1) * len(pairs[order[hi]][0]) <= 1 << 19:
+            hi += 1
+        some = order[lo:hi]
+        longest = np.array([max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in some])
+        d = banded_distance([pairs[i] for i in some], np.floor((1 - threshold) * longest + 1e-9).astype(np.int64))
+        edit[some] = np.where(d < 0, -1.0, 1 - d / longest)
+        lo = hi
+    return edit
+
+
 def _verify(k: int, threshold: float):
     def words(text: str) -> np.ndarray:
         return np.fromiter(map(hash, text.encode("utf-8", "surrogatepass").split()), np.int64)
@@ -187,18 +210,7 @@ def _verify(k: int, threshold: float):
                     keep.append(i)
                     pairs.append((h, old[0]))
                     sims.append(sim)
-            edit = np.full(len(keep), -1.0)
-            order = sorted(range(len(keep)), key=lambda i: len(pairs[i][0]))
-            lo = 0
-            while lo < len(order):  # pairs of like length together, within some MB
-                hi = lo + 1
-                while hi < len(order) and hi - lo < 256 and (hi - lo + 1) * len(pairs[order[hi]][0]) <= 1 << 19:
-                    hi += 1
-                some = order[lo:hi]
-                longest = np.array([max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in some])
-                d = banded_distance([pairs[i] for i in some], np.floor((1 - threshold) * longest + 1e-9).astype(np.int64))
-                edit[some] = np.where(d < 0, -1.0, 1 - d / longest)
-                lo = hi
+            edit = _alignment(pairs, threshold)
             ok = edit >= threshold - 1e-9
             keep = np.array(keep, np.int64)[ok]
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(np.array(sims)[ok], pa.float64()), pa.array(edit[ok])], ["a", "b", "jaccard", "alignment"])
@@ -231,6 +243,90 @@ def _candidates(rows: DataFrame, key: list[str], what: str) -> tuple[DataFrame,
     return pairs.unionByName(star), large
 
 
+class _Block:
+    """Members of a bucket with their words and labelled shingles."""
+
+    def __init__(self, table: pa.Table, k: int):
+        batch = table.combine_chunks().to_batches()[0]
+        self.node, self.root = (batch.column(c).to_numpy() for c in ("node", "root"))
+        self.main = batch.column("main").to_numpy(zero_copy_only=False)
+        self.sk = batch.column("sk").flatten().to_numpy().reshape(len(self.node), -1)
+        self.words, self.shingles = [], []
+        for lo, hi, buf, offs in W.chunks(W.texts_of(batch, "text"), 1 << 19):
+            starts, ends, words = W.spans(buf, offs)
+            h = W.hashes(buf, starts, ends)
+            x, at = labelled(h, words, k)
+            self.words += [h[words[i] : words[i + 1]].view(np.int64) for i in range(hi - lo)]
+            self.shingles += [x[at[i] : at[i + 1]] for i in range(hi - lo)]
+        self.n = np.array([len(x) for x in self.shingles])
+
+
+def _across(k: int, threshold: float):
+    """Links of the members in the left block to those in the right one that are in other components."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        links = {c: [] for c in ("a", "b", "ra", "rb", "jaccard", "alignment")}
+        if left.num_rows and right.num_rows:
+            x, y = _Block(left, k), _Block(right, k)
+            # two members outside the main component meet once, and in the first of their common buckets
+            may = (x.root[:, None] != y.root) & (y.main | (x.node[:, None] < y.node))
+            for j in range(key[0].as_py()):
+                may &= x.sk[:, j, None] != y.sk[:, j]
+            every = np.concatenate(y.shingles)
+            order = np.argsort(every)
+            every, row = every[order], np.repeat(np.arange(len(y.n)), y.n)[order]
+            sims = np.zeros(may.shape)
+            for i in np.flatnonzero(may.any(axis=1)):
+                lo, hi = np.searchsorted(every, x.shingles[i]), np.searchsorted(every, x.shingles[i], side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                same = np.bincount(row[at], minlength=len(y.n))
+                sims[i] = same / np.maximum(x.n[i] + y.n - same, 1)
+            a, b = np.nonzero(may & (sims >= threshold))
+            # some of the pairs of two components, then more if none of them is a link
+            both = np.unique(np.c_[x.root[a], y.root[b]], axis=0, return_inverse=True)[1].reshape(-1)
+            left_over, some = np.argsort(both, kind="stable"), 1
+            while len(left_over):
+                p = both[left_over]
+                lead = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                taken = np.arange(len(p)) - np.repeat(lead, np.diff(np.r_[lead, len(p)])) < some
+                now = left_over[taken]
+                edit = _alignment([(x.words[a[i]], y.words[b[i]]) for i in now], threshold)
+                ok = edit >= threshold - 1e-9
+                hit = now[ok]
+                for c, v in zip(links, (x.node[a[hit]], y.node[b[hit]], x.root[a[hit]], y.root[b[hit]], sims[a[hit], b[hit]], edit[ok]), strict=True):
+                    links[c].append(v)
+                left_over = left_over[~taken]
+                left_over = left_over[~np.isin(both[left_over], both[hit])]
+                some *= 2
+        return pa.table({c: np.concatenate(v) if v else np.empty(0, np.float64 if c in ("jaccard", "alignment") else np.int64) for c, v in links.items()})
+
+    return run
+
+
+def _rest(large: DataFrame, roots: DataFrame, body: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links a, b, with their components ra, rb, between members of a large bucket
+    that are in different components: at least one for each two components that
+    have a link in some bucket."""
+    key = ["i", "s"]
+    member = large.select(*key, "node", "sk").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = written(member.join(body.select("node", F.octet_length("text").alias("chars")), "node"), "op6-members")
+    by_root = member.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    split = by_root.groupBy(*key).agg(F.max(F.struct("n", "root", "chars")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+
+    def blocks(n, chars):
+        return F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(chars / BLOCK_CHARS)).cast("int")
+
+    split = split.select(*key, F.col("top.root").alias("top"), blocks(F.col("n"), F.col("chars")).alias("ny"), blocks(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("nx"))
+    split = written(split, "op6-split")
+    member = member.join(split.hint("merge"), key).withColumn("main", F.expr("root = top")).select(*key, "node", "root", "sk", "main", "nx", "ny")
+    member = member.join(body, "node")
+    x = member.filter("not main").withColumn("x", F.pmod(F.xxhash64("node"), "nx")).withColumn("y", F.explode(F.expr("sequence(0L, ny - 1L)")))
+    y = member.withColumn("y", F.pmod(F.xxhash64(F.lit(17), "node"), "ny")).withColumn("x", F.explode(F.expr("sequence(0L, nx - 1L)")))
+    part, cols = [*key, "x", "y"], [*key, "x", "y", "node", "root", "main", "sk", "text"]
+    return x.select(cols).groupBy(*part).cogroup(y.select([F.col(c).alias(c) for c in cols]).groupBy(*part)).applyInArrow(_across(k, threshold), "a long, b long, ra long, rb long, jaccard double, alignment double")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, least: int = L, m: int = M, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct text, by its hashes t1 and t2: class_no, class_id,
     n_links and n_copies as in near_duplicates."""
@@ -242,11 +338,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "op6-nodes")
 
     level = nodes.select("node", "sk", F.posexplode("sk").alias("i", "s"))
-    pairs = None
+    pairs, widest = None, None
     for width in WIDTHS:
         rows = level.select("node", "sk", "i", F.xxhash64(*[F.get("sk", (F.col("i") + j) % m) for j in range(width)]).alias("s"))
         found, large = _candidates(rows, ["i", "s"], f"sketches-{width}")
         pairs = found if pairs is None else pairs.unionByName(found)
+        widest = large if widest is None else widest
         level = large
     pairs = written(pairs.distinct(), "op6-pairs")
 
@@ -259,6 +356,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     links = written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long, jaccard double, alignment double"), "op6-links")
 
     roots = components(links.select("a", "b"))
+    if widest.limit(1).count():
+        rest = written(_rest(widest, roots, body, k, threshold), "op6-rest")
+        over = components(rest.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        all_roots = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = written(all_roots.join(over, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "op6-roots")
+        links = links.unionByName(rest.drop("ra", "rb"))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.select("t1", "t2", "node", "id", "n_copies").join(roots, "node", "left").join(degree, "node", "left")
     known = written(known.select("t1", "t2", "id", "n_copies", F.coalesce("root", "node").alias("class_no"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "op6-known")
@@ -267,8 +370,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """One row per row of `docs`: the id, class_id (the least id of its class),
-    class_no (an internal number, equal within a class), n_links (verified links
-    of its text to other texts) and n_copies (rows with exactly its text).
+    class_no (an internal number, equal within a class), n_links (links of its
+    text to other texts that were verified: all in buckets of up to PAIR_UP texts,
+    a lower bound in larger ones, where only the classes are exact) and n_copies (rows with exactly its text).
 
     Texts that are equal are one class. A text with fewer than `least` + k - 1
     words has too few shingles to be sketched and joins only its exact copies

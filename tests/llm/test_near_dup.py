@@ -92,6 +92,24 @@ def test_groups(spark):
     assert sort(kept) == sort([*want.values(), *(r for r in rows if r[1] is None)])
 
 
+def test_links_past_the_hubs(spark):
+    """A group of 60 copies, and twenty texts that are near to one text of it each, none of them a hub."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    copies = [[*base[:j], f"c{i}", *base[j + 1 :]] for i in range(60) for j in [rng.randint(0, 299)]]
+    far = []
+    for i in range(20):
+        first, n = copies[i + 20], 0
+        # distant from all the group, then linked through a chain of two texts
+        for n, share in enumerate((0.018, 0.018)):
+            first = [x if rng.random() > share else f"f{i}-{n}-{j}" for j, x in enumerate(first)]
+            far.append(first)
+    rows = [(i, " ".join(x)) for i, x in enumerate(copies + far)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.class_id) for r in near_duplicates(df).collect()]
+    assert sort(got) == sort(brute(rows))
+
+
 def test_empty_and_names(spark):
     df = spark.createDataFrame([(1, "a", 1, 2)], "doc_id long, text string, node long, id long")
     assert [tuple(r)[:2] for r in near_duplicates(df).collect()] == [(1, 1)]

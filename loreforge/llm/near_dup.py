@@ -329,7 +329,7 @@ def _rest(large: DataFrame, roots: DataFrame, body: DataFrame, k: int, threshold
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, least: int = L, m: int = M, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct text, by its hashes t1 and t2: class_no, class_id,
-    n_links and n_copies as in near_duplicates."""
+    class_texts, n_verified and n_copies as in near_duplicates."""
     text = F.col(text_col)
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")).filter(text.isNotNull())
     kind = dict(docs.select(id_col).dtypes)[id_col]
@@ -362,30 +362,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         all_roots = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = written(all_roots.join(over, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "op6-roots")
         links = links.unionByName(rest.drop("ra", "rb"))
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     known = nodes.select("t1", "t2", "node", "id", "n_copies").join(roots, "node", "left").join(degree, "node", "left")
-    known = written(known.select("t1", "t2", "id", "n_copies", F.coalesce("root", "node").alias("class_no"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "op6-known")
-    heads = known.groupBy("class_no").agg(F.min("id").alias("class_id"))
+    known = written(known.select("t1", "t2", "id", "n_copies", F.coalesce("root", "node").alias("class_no"), F.coalesce("n_verified", F.lit(0)).alias("n_verified")), "op6-known")
+    heads = known.groupBy("class_no").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_texts"))
     return written(known.join(heads, "class_no").drop("id"), "op6-classes")
 
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """One row per row of `docs`: the id, class_id (the least id of its class),
-    class_no (an internal number, equal within a class), n_links (links of its
-    text to other texts that were verified: all in buckets of up to PAIR_UP texts,
-    a lower bound in larger ones, where only the classes are exact) and n_copies (rows with exactly its text).
+    class_no (an internal number, equal within a class), class_texts (different
+    texts of the class), n_verified (links of its text that had to be verified to
+    find the class; in large buckets not all of them, so no count of its near
+    copies) and n_copies (rows with exactly its text).
 
     Texts that are equal are one class. A text with fewer than `least` + k - 1
     words has too few shingles to be sketched and joins only its exact copies
     (at k = 5 and 0.8 it could not have another near copy). A null text is in
-    no class but its own: class_id is its id, class_no null, n_copies 1. If ids
+    no class but its own: class_id is its id, class_no null, class_texts and
+    n_copies 1. If ids
     repeat, different classes can have one class_id; class_no tells them apart.
     Null ids take part; a class of null ids only has a null class_id. Other
     columns are ignored. An empty table gives an empty result.
     """
     known, text = classes(docs, id_col, text_col, **more), F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2"), text.isNull().alias("none"))
-    mine = rows.filter("not none").join(known, ["t1", "t2"]).select("id", "class_id", "class_no", "n_links", "n_copies")
-    none = rows.filter("none").select("id", F.col("id").alias("class_id"), F.lit(None).cast("long").alias("class_no"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    mine = rows.filter("not none").join(known, ["t1", "t2"]).select("id", "class_id", "class_no", "class_texts", "n_verified", "n_copies")
+    none = rows.filter("none").select("id", F.col("id").alias("class_id"), F.lit(None).cast("long").alias("class_no"), F.lit(1).cast("long").alias("class_texts"), F.lit(0).cast("long").alias("n_verified"), F.lit(1).cast("long").alias("n_copies"))
     return mine.unionByName(none).withColumnRenamed("id", id_col)
 
 
@@ -410,4 +413,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_copies")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "class_texts", "n_copies")

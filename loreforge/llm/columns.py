@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -14,11 +15,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """Two values k1, k2 that tell rows apart even where ids are null or repeat;
-    rows that agree in id and text share them."""
+def id_number(df: DataFrame, id_col: str) -> Column:
+    """Ids that are whole numbers as they are, others as a hash of their text; null stays null."""
     c = F.col(id_col)
-    return F.coalesce(c.cast("long"), F.lit(0)).alias("k1"), F.xxhash64(c.isNull(), F.col(text_col)).alias("k2")
+    return c.cast("long") if isinstance(df.schema[id_col].dataType, IntegralType) else F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two values k1, k2 that tell rows apart even where ids are null or repeat;
+    rows that agree in id and text share them. k1 orders rows by their ids: null
+    ids are 0, and ids that are no whole numbers stand in the order of a hash."""
+    return F.coalesce(id_number(df, id_col), F.lit(0)).alias("k1"), F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("k2")
 
 
 #: Words that most operators count: runs of all but space and 0x09-0x0D.

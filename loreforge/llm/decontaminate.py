@@ -16,6 +16,8 @@ left to Spark, which shuffles the grams.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .columns import let, row_key
 
 N = 13
 BROADCAST_WORDS = 100_000
+#: Windows in one row of the set, about.
+ENTRIES = 64
 # all but the ASCII characters that are neither digits nor letters; said as what is
 # in it, commonest first, a class is tested in far fewer steps than as what is not
 _WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
@@ -52,38 +56,43 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str
 
 
 def _grams(windows: DataFrame, g: int, n: int) -> DataFrame:
-    """The windows by the hash of each of their g-grams, with its place."""
+    """The windows by the hash of each of their g-grams, with its place; a gram
+    that many windows share has a row for about each ENTRIES of them."""
     size = F.size("window")
     rows = windows.filter((size > 2 * g - 2) & (size <= min(2 * g, n))).select("window", "items", F.explode(_between(F.lit(0), size - g)).alias("at"))
-    return rows.groupBy(F.xxhash64(F.lit(g), F.slice("window", F.col("at") + 1, F.lit(g))).alias("gram")).agg(F.collect_list(F.struct("at", "window", "items")).alias("entries"))
+    rows = rows.withColumn("gram", F.xxhash64(F.lit(g), F.slice("window", F.col("at") + 1, F.lit(g))))
+    parts = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / ENTRIES).alias("parts"))
+    part = F.pmod(F.xxhash64("window", "at"), "parts")
+    return rows.join(parts, "gram").groupBy("gram", part.alias("part")).agg(F.collect_list(F.struct("at", "window", "items")).alias("entries")).drop("part")
 
 
-def _aligned(g: int, n: int) -> Column:
-    """For each aligned gram of a text: its place, its hash, the words that any
-    window around it can hold, and where those begin."""
-    reach = min(2 * g, n) - g
+def _aligned(gs: list[int], n: int) -> Column:
+    """For each aligned gram of a text, for each g: its place, its hash, the words
+    that any window around it can hold, and where those begin."""
 
-    def one(w: Column, p: Column) -> Column:
+    def one(w: Column, p: Column, g: int) -> Column:
+        reach = min(2 * g, n) - g
         lo = F.greatest(p - reach, F.lit(0))
         return F.struct(p.alias("p"), F.xxhash64(F.lit(g), F.slice(w, p + 1, F.lit(g))).alias("gram"), lo.alias("lo"), F.slice(w, lo + 1, F.lit(g + 2 * reach)).alias("around"))
 
-    return let(normal_words(F.col("text")), lambda w: F.transform(_between(F.lit(0), F.size(w) - g, g), lambda p: one(w, p)))
+    def grams(w: Column, g: int) -> Column:
+        return F.transform(_between(F.lit(0), F.size(w) - g, g), lambda p: one(w, p, g))
+
+    return let(normal_words(F.col("text")), lambda w: F.concat(*(grams(w, g) for g in gs)))
 
 
 def window_hits(docs: DataFrame, windows: DataFrame, n: int, broadcast: bool, lengths: list[int]) -> DataFrame:
-    """(k1, k2, start, length, items) of each verified window in a document,
-    where start is in words; a window may come twice."""
-    out = None
-    for g in sorted({(x + 1) // 2 for x in lengths}):
-        probe = docs.select("k1", "k2", F.explode(_aligned(g, n)).alias("a")).select("k1", "k2", "a.*")
-        grams = _grams(windows, g, n)
-        hit = probe.join(F.broadcast(grams) if broadcast else grams, "gram")
-        start = lambda e: F.col("p") - e["at"]
-        same = lambda e: F.when(start(e) >= F.col("lo"), F.slice("around", start(e) - F.col("lo") + 1, F.size(e["window"])) == e["window"]).otherwise(False)
-        found = F.transform(F.filter("entries", same), lambda e: F.struct(start(e).alias("start"), F.size(e["window"]).alias("length"), e["items"].alias("items")))
-        rows = hit.select("k1", "k2", found.alias("hits")).filter(F.size("hits") > 0)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(k1, k2, hits) of the verified windows in a document around one of its
+    grams; hits have start (in words), length and items. A window may come twice.
+    The corpus is read once, whatever the lengths."""
+    gs = sorted({(x + 1) // 2 for x in lengths})
+    probe = docs.select("k1", "k2", F.explode(_aligned(gs, n)).alias("a")).select("k1", "k2", "a.*")
+    grams = reduce(DataFrame.unionByName, (_grams(windows, g, n) for g in gs))
+    hit = probe.join(F.broadcast(grams) if broadcast else grams, "gram")
+    start = lambda e: F.col("p") - e["at"]
+    same = lambda e: F.when(start(e) >= F.col("lo"), F.slice("around", start(e) - F.col("lo") + 1, F.size(e["window"])) == e["window"]).otherwise(False)
+    found = F.transform(F.filter("entries", same), lambda e: F.struct(start(e).alias("start"), F.size(e["window"]).alias("length"), e["items"].alias("items")))
+    return hit.select("k1", "k2", found.alias("hits")).filter(F.size("hits") > 0)
 
 
 def _covered(hits: Column) -> Column:
@@ -111,7 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     windows = benchmark_windows(benchmark, n, item_col, item_text_col)
     stats = benchmark.select(F.size(normal_words(F.col(item_text_col))).alias("n")).filter("n > 0").agg(F.sum("n"), F.collect_set(F.least("n", F.lit(n)))).first()
-    k1, k2 = row_key(id_col, text_col)
+    k1, k2 = row_key(docs, id_col, text_col)
     keyed = docs.select(F.col(text_col).alias("text"), k1, k2)
     added = {"n_words": F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long"), "__k1": k1, "__k2": k2}
     out = docs.drop("n_words", "n_hit", "items", "spans", "contaminated").withColumns(added)

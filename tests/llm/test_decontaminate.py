@@ -64,6 +64,9 @@ def test_empty(spark):
     d = spark.createDataFrame([(1, "a b", "q")], "doc_id long, text string, gram string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.gram) for r in contamination(d, none).collect()] == [(2, 0, "q")]
+    named = spark.createDataFrame([("x", "q a b c"), ("y", None), (None, "a b " * 100_000)], "doc_id string, text string")
+    stock = spark.createDataFrame([(i, f"a b {i}" if i else "a b") for i in range(300)], "item_id long, text string")
+    assert sorted((str(r.doc_id), r.n_hit) for r in contamination(named, stock).collect()) == [("None", 200_000), ("x", 2), ("y", 0)]
     assert contamination(d.limit(0), d.selectExpr("doc_id item_id", "text")).count() == 0
 
 

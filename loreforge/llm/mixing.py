@@ -97,20 +97,20 @@ def schedule(spark, plan: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, most: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """Returns (per document, pieces). Per document: the id, size (words), its
-    source_size and target, and taken (words that the mix takes, repeats
-    counted). pieces: slot, rid, doc_from, words: what each slot takes of a row
+    source_size and target, taken (words that the mix takes, repeats counted),
+    n_slots (slots that take of it) and first_slot (null if none). pieces: slot, rid, doc_from, words: what each slot takes of a row
     (rid as in the first result), in words from doc_from.
 
     Every source's taken words equal its target rounded; the line of a source is
     taken again from its start when it ends, at most `most` times. Null and
     empty texts have size 0 and are not taken; a null source is a source of its
     own; repeated rows and ids are rows of their own. The order is by a hash of
-    the id, so reruns agree. Other columns are ignored. An empty table gives
+    id and text, so reruns agree whatever the layout. Other columns are ignored. An empty table gives
     empty results.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))))
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
     sizes = written(sizes.withColumn("rid", F.monotonically_increasing_id()), "op7-sizes")
     plan = written(targets(sizes, most), "op7-plan")
@@ -128,21 +128,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     from_, to = F.greatest("lo", F.col("rank") * block), F.least("hi", (F.col("rank") + 1) * block)
     parts = parts.select("rid", "s", "rank", (from_ - F.col("lo")).alias("doc_from"), (to - from_).alias("words"))
     pieces = parts.join(schedule(spark, plan, block), ["s", "rank"]).select("slot", "rid", "doc_from", "words")
-    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"))
-    per = rows.select("id", "rid", "size", "source_size", "target").join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"))
+    per = rows.select("id", "rid", "size", "source_size", "target").join(taken, "rid", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("taken", "n_slots")})
     return per.withColumnRenamed("id", id_col), pieces
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     per, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return per.select("doc_id", "size", "source_size", "target", "taken")
+    return per.select("doc_id", "size", "source_size", "target", "taken", "n_slots", "first_slot")
 
 
-#: Follows the definition, not the schedule: a document is taken wherever its
-#: place on the line of its source lies below the words due, in three passes.
+#: taken follows the definition: a document is taken wherever its place on the
+#: line of its source lies below the words due, in three passes. The slots are
+#: those of the schedule, point by point.
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, ''), '|', coalesce(text, ''))) AS key FROM documents
 ), p AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM d GROUP BY source
 ), q AS (SELECT *, (s % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM p),
@@ -153,10 +154,24 @@ l AS (
 t AS (SELECT q.*, least(cap, coalesce((SELECT level FROM f) * w, cap)) AS target FROM q),
 u AS (SELECT *, least(floor(target + 0.5), floor(cap))::BIGINT AS due FROM t),
 x AS (
-  SELECT doc_id, size, source_size, target, due, coalesce(sum(size) OVER (PARTITION BY s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  SELECT doc_id, key, s, size, source_size, target, due, coalesce(sum(size) OVER (PARTITION BY s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
-)
+),
+need AS (SELECT s, ((due + 2047) // 2048)::BIGINT AS blocks FROM u WHERE due > 0),
+tot AS (SELECT sum(blocks)::BIGINT AS total, (sum(blocks) + 16 * (floor(log2(sum(blocks))) + 1))::BIGINT AS points FROM need),
+cum AS (SELECT s, blocks, (sum(blocks) OVER (ORDER BY s) - blocks)::DOUBLE / total AS lo, (sum(blocks) OVER (ORDER BY s))::DOUBLE / total AS hi FROM need, tot),
+drawn AS (SELECT slot, (slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS z FROM tot, range(points) r(slot)),
+ranked AS (SELECT slot, s, blocks, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS rank FROM drawn JOIN cum ON z >= lo AND z < hi),
+held AS (SELECT s, count(*) AS n FROM ranked GROUP BY s),
+slots AS (
+  SELECT slot, s, rank FROM ranked WHERE rank < blocks
+  UNION ALL SELECT points + s, s, unnest(range(coalesce(n, 0), blocks)) FROM need LEFT JOIN held USING (s), tot WHERE coalesce(n, 0) < blocks
+),
+passes AS (SELECT doc_id, key, s, p * source_size + start AS lo, least(p * source_size + start + size, due) AS hi FROM x, range(3) r(p) WHERE size > 0),
+parts AS (SELECT doc_id, key, s, unnest(range(lo // 2048, (hi - 1) // 2048 + 1)) AS rank FROM passes WHERE hi > lo),
+took AS (SELECT doc_id, key, count(DISTINCT slot) AS n_slots, min(slot)::BIGINT AS first_slot FROM parts JOIN slots USING (s, rank) GROUP BY doc_id, key)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, due) - start) + greatest(0, least(source_size + start + size, due) - source_size - start) + greatest(0, least(2 * source_size + start + size, due) - 2 * source_size - start))::BIGINT AS taken
-FROM x
+  (greatest(0, least(start + size, due) - start) + greatest(0, least(source_size + start + size, due) - source_size - start) + greatest(0, least(2 * source_size + start + size, due) - 2 * source_size - start))::BIGINT AS taken,
+  coalesce(n_slots, 0)::BIGINT AS n_slots, first_slot
+FROM x LEFT JOIN took USING (doc_id, key)
 """

@@ -47,6 +47,10 @@ def run(spark, rows, **more):
         assert 0 <= p.doc_from < p.doc_from + p.words <= by[p.rid]["size"]
         slots[p.slot] += p.words
     assert all(n <= more.get("block", 2048) for n in slots.values())
+    at = defaultdict(set)
+    for p in pieces:
+        at[p.rid].add(p.slot)
+    assert all((r.n_slots, r.first_slot) == (len(at[r.rid]), min(at[r.rid], default=None)) for r in per)
     return per
 
 
@@ -77,7 +81,7 @@ def test_empty(spark):
     per, pieces = mix(spark.createDataFrame([], "doc_id long, text string, source string"))
     assert per.count() == 0 and pieces.count() == 0
     per, pieces = mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string"))
-    assert [tuple(r)[-1] for r in per.collect()] == [0] and pieces.count() == 0
+    assert [(r.taken, r.n_slots, r.first_slot) for r in per.collect()] == [(0, 0, None)] and pieces.count() == 0
 
 
 def test_query(spark, small):
@@ -86,7 +90,7 @@ def test_query(spark, small):
     for r in rows:
         size[r.source] += len(words(r.text))
     want, line, out = targets(dict(size)), defaultdict(int), set()
-    for r in sorted(rows, key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
+    for r in sorted(rows, key=lambda r: hashlib.md5(f"{r.doc_id}|{r.text}".encode()).hexdigest()):
         n, at, due = len(words(r.text)), line[r.source], int(want[r.source] + 0.5)
         out.add((r.doc_id, sum(max(0, min(p * size[r.source] + at + n, due) - p * size[r.source] - at) for p in range(3))))
         line[r.source] += n

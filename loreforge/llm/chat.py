@@ -1,14 +1,18 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole: each turn stands between control strings, and
-control strings inside texts are escaped so that they can be told apart and
-restored. The rendered text is encoded once with offsets. A turn's text is a
-span of characters; the spans of assistant turns and those of tokens are both
-sorted, so the tokens under the loss mask are found by binary search.
-
-Turns are dealt by conversation, sorted, and streamed through the tasks: a
-conversation is never held whole, it passes in runs of whole turns of bounded
-size. One conversation's digests are one sequential pass over its turns.
+A conversation is rendered whole: each turn stands between control strings on
+lines of its own, and control strings inside texts are escaped so that they can
+be told apart and restored. The rendered text is encoded once with offsets. A
+turn's text is a span of characters; the spans of assistant turns and those of
+tokens are both sorted, so the tokens under the loss mask are found by binary
+search.
+
+Turns are dealt by conversation, sorted, and streamed through the tasks. A very
+long conversation passes in runs of whole turns, so that it is never held whole.
+A run ends with the newline after a turn and the next begins with "<": byte-level
+tokenizers split a text there before they look for tokens, so the ids and the
+mask of the runs are, put together, those of the whole text encoded once. One
+conversation's digests are one sequential pass over its turns.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ _ESCAPED = re.compile(rf"([<\[])\\(\\*)(?={_NAMES})")
 _TURN = re.compile(r"<s>\[(INST|ANSWER|SYS)\] (.*?) \[/\1\](?:</s>)?|<s>\[TURN (.*?)\] (.*?) \[/TURN\]", re.S)
 _ROLE = {"INST": "user", "ANSWER": "assistant", "SYS": "system"}
 
-#: Turns are encoded together up to this many characters.
+#: Turns are held together up to this many characters.
 RUN_CHARS = 200_000
 
 
@@ -58,7 +62,7 @@ def render(role: str | None, text: str | None) -> tuple[str, int, int]:
         for c in "<[]":
             name = name.replace(c, f"\\u{ord(c):04x}")
         head, tail = _OTHER[0] + name + _OTHER[1], _OTHER[2]
-    return head + body + tail, len(head), len(head) + len(body)
+    return head + body + tail + "\n", len(head), len(head) + len(body)
 
 
 def parse(formatted: str) -> list[tuple[str | None, str]]:
@@ -193,8 +197,10 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ties; repeated rows are turns of their own. A null text is empty; an empty
     assistant text has no token under the mask. Roles other than user, assistant
     and system, also null, are kept in a mark of their own. Null conversation
-    ids are one conversation. A conversation beyond `run_chars` characters is
-    cut before a turn into runs, which together are its formatted text. Other
+    ids are one conversation. A conversation beyond `run_chars` characters comes
+    in runs of whole turns, which together are its formatted text, ids and mask
+    (for tokenizers that split at the newline between turns, as byte-level ones
+    do; for others give a run_chars that no conversation has). Other
     columns are ignored. An empty table gives an empty result. tokenizer_path
     names a tokenizers JSON file that every executor can read; by default the
     public byte-level one is used.

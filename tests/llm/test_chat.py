@@ -53,6 +53,16 @@ def test_fixture(spark):
     assert chat_digests(format_chats(df.limit(0))).count() == 0
 
 
+def test_runs_have_the_ids_of_the_whole(spark):
+    texts = ["</s>", "<s>", " lead", "trail \n", "", "é日本", "a<", "\n\n", "[/INST]</s>", "don't", "12345", "  "]
+    rows = [(1, i, ["user", "assistant", "system", "tool"][i % 4], texts[i * 7 % 12] + texts[i * 5 % 12]) for i in range(120)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, runs = (sorted(format_chats(df, run_chars=n).collect(), key=lambda r: r.run) for n in (10**6, 40))
+    assert len(whole) == 1 and len(runs) > 50
+    assert whole[0].ids == [i for r in runs for i in r.ids] and whole[0].loss == [i for r in runs for i in r.loss]
+    assert whole[0].formatted == "".join(r.formatted for r in runs)
+
+
 def test_query(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     told = "</s>[INST] ok [/INST]"

@@ -46,6 +46,8 @@ HUBS = 6
 PARTS = 64
 #: Most characters and texts (about) of a block in which the rest of a large bucket is compared.
 BLOCK_CHARS, BLOCK_TEXTS = 1 << 18, 256
+#: Pairs whose words a task holds at once.
+VERIFY_ROWS = 512
 #: Sketches in a bucket's key; members of large buckets go on to the next.
 WIDTHS = (1, 2, 4)
 _U = np.uint64
@@ -195,7 +197,7 @@ def _verify(k: int, threshold: float):
         return labelled(W.mix(h.view(np.uint64)), np.array([0, len(h)]), k)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, VERIFY_ROWS) for b in batches for lo in range(0, b.num_rows, VERIFY_ROWS)):
             keep, pairs, sims = [], [], []
             last, old = None, None
             for i, (p, q) in enumerate(zip(batch.column("ta"), batch.column("tb"), strict=True)):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters that titles are folded to when compared.
@@ -28,6 +29,11 @@ ELLIPSIS = "…"
 CUT = " …[cut]… "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(c: Column) -> Column:
     """Without any Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -55,14 +61,17 @@ def _accents() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters that decompose lose their marks; others (đ, ø) stay."""
+    """Letters that decompose lose their marks; others (đ, ø) stay. ASCII texts
+    have none, and are left alone."""
     old, new = _accents()
-    return F.regexp_replace(F.translate(c, old, new), r"\p{Mn}+", "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, old, new), r"\p{Mn}+", ""))
 
 
 def fts_tokens(c: Column) -> Column:
     """Index and query tokens: folded runs of letters and numbers."""
-    return F.regexp_extract_all(strip_accents(F.lower(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    low = let(F.lower(c), strip_accents)
+    ascii_ = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(F.octet_length(c) == F.length(c), ascii_).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def norm_title(c: Column) -> Column:
@@ -72,20 +81,40 @@ def norm_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), old, new), r"[^\p{L}\p{Nd}]+", " "))
 
 
+def _rule_applies(c: Column, pattern: str) -> Column | None:
+    """A cheap test that must hold before a costly rule is tried."""
+    return F.contains(c, F.lit("PRIVATE KEY-----")) if "PRIVATE KEY" in pattern else None
+
+
 def redact(c: Column) -> Column:
     """Secrets replaced by markers, rule by rule; doing it twice changes nothing."""
     for _, pattern, replacement in REDACTIONS:
-        c = F.regexp_replace(c, pattern, replacement)
+        new, may = F.regexp_replace(c, pattern, replacement), _rule_applies(c, pattern)
+        c = new if may is None else F.when(may, new).otherwise(c)
     return c
 
 
-def redact_counts(c: Column) -> Column:
-    """How often each rule struck: a struct with one field per rule name."""
-    n = {name: F.lit(0) for name in REDACTION_NAMES}
+def _counted(field: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    """One rule over a struct of the text t and the counts."""
+
+    def step(x: Column) -> Column:
+        n, may = F.regexp_count(x["t"], F.lit(pattern)), _rule_applies(x["t"], pattern)
+        n = n if may is None else F.when(may, n).otherwise(0)
+        return let(n, lambda k: x.withField(field, x[field] + k).withField("t", F.when(k > 0, F.regexp_replace(x["t"], pattern, replacement)).otherwise(x["t"])))
+
+    return step
+
+
+def redact_counts(rows: DataFrame, text_col: str) -> DataFrame:
+    """Adds how often each rule struck, a column per rule name (- as _), and the
+    redacted text in place of the text. Rules are applied one after another, each
+    to the text that those before it left; every text is gone through once."""
+    state = F.struct(F.col(text_col).alias("t"), *(F.lit(0).alias(n.replace("-", "_")) for n in REDACTION_NAMES))
     for name, pattern, replacement in REDACTIONS:
-        n[name] = n[name] + F.regexp_count(c, F.lit(pattern))
-        c = F.regexp_replace(c, pattern, replacement)
-    return F.struct(*(v.cast("long").alias(k.replace("-", "_")) for k, v in n.items()))
+        state = let(state, _counted(name.replace("-", "_"), pattern, replacement))
+    out = rows.withColumn("_r", state)
+    counts = {n.replace("-", "_"): F.col("_r")[n.replace("-", "_")].cast("long") for n in REDACTION_NAMES}
+    return out.withColumns({text_col: F.col("_r.t"), **counts}).drop("_r")
 
 
 def slug(c: Column) -> Column:

@@ -33,3 +33,24 @@ def quantise(a: Column) -> Column:
     scale = F.array_max(F.transform(u, F.abs)) / 127
     q = F.when(scale == 0, F.transform(u, lambda x: F.lit(0).cast("tinyint"))).otherwise(F.transform(u, lambda x: F.round(x / scale).cast("tinyint")))
     return F.struct(q.alias("q"), scale.alias("scale"))
+
+
+def dequantise(z: Column) -> Column:
+    """The vector that a quantise() struct stands for."""
+    return F.transform(z["q"], lambda x: x.cast("double") * z["scale"])
+
+
+def legacy_vector(blob: Column, dim: int) -> Column:
+    """A vector stored as little-endian 32-bit floats; null if the blob has
+    another length than dim of them."""
+    b = F.hex(blob)
+
+    def one(i: Column) -> Column:
+        byte = lambda j: F.substring(b, i * 8 + 2 * j + 1, F.lit(2))
+        n = F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
+        sign = F.when(n >= 2**31, -1.0).otherwise(1.0)
+        exp, frac = F.floor(n / 2**23) % 256, n % 2**23
+        value = F.when(exp == 0, frac / 2.0**23 * 2.0**-126).otherwise((1 + frac / 2.0**23) * F.pow(F.lit(2.0), exp - 127))
+        return F.when(exp == 255, F.lit(None).cast("double")).otherwise(sign * value)
+
+    return F.when(F.octet_length(blob) == 4 * dim, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 CHUNK = 1000
 LEAST_SECTION = 500
 _MARKER = re.compile(r"⟦([^\n]*)⟧")
-_PARAGRAPHS = re.compile(r"\n\s*\n")
+_PARAGRAPHS = re.compile(r"\n\s*\n", re.ASCII)
 _SENTENCE_END = re.compile(r"(?<=[.!?])(?=[ \n])")
 
 
@@ -89,15 +89,23 @@ def chunk(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFram
     return split_rows(df, chunk_text, id_col, text_col).withColumn("token_count", F.floor((F.length("text") + 3) / 4).cast("long"))
 
 
-def windows(text: str | None, most: int = 40_000, keep: int = 8) -> list[str]:
-    """Whole lines packed into windows; of more than `keep` the last stay."""
+def all_windows(text: str | None, most: int = 40_000) -> list[str]:
+    """Whole lines (up to \\n) packed into windows."""
     out, now = [], ""
-    for line in (text or "").splitlines(keepends=True) if text else []:
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
         if now and len(now) + len(line) > most:
             out.append(now)
             now = ""
         now += line
-    return ([*out, now] if now else out)[-keep:]
+    return [*out, now] if now else out
+
+
+def windows(df: DataFrame, id_col: str, text_col: str, most: int = 40_000, keep: int = 8) -> DataFrame:
+    """id, ordinal from 0, text and dropped: of more than `keep` windows the last
+    stay, and dropped says how many went."""
+    rows = split_rows(df, lambda t: all_windows(t, most), id_col, text_col)
+    per = rows.groupBy(id_col).agg(F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("dropped"))
+    return rows.join(per, id_col).filter("ordinal >= dropped").withColumn("ordinal", (F.col("ordinal") - F.col("dropped")).cast("int"))
 
 
 def pack(lengths: list[int], most: int) -> list[int]:

@@ -7,17 +7,22 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreforge.functions.dates import work_day
 from loreforge.functions.text import glob_regex, trim_all
+from loreforge.operators.search import vector_topk
+from loreforge.operators.state import KNOWLEDGE_KINDS
 
-# Media kinds by extension.
+# Media kinds by extension, and media that is not supported.
 MEDIA = {
-    "audio": ["aac", "flac", "m4a", "mp3", "ogg", "opus", "wav"],
-    "image": ["gif", "heic", "jpeg", "jpg", "png", "webp"],
-    "video": ["mkv", "mov", "mp4", "webm"],
+    "audio": ["m4a", "mp3", "wav", "ogg"],
+    "image": ["png", "jpg", "jpeg", "heic"],
+    "video": ["mp4", "mov", "m4v"],
 }
+UNSUPPORTED_MEDIA = ["mkv", "avi", "flv", "wmv", "webm", "aac", "flac", "gif", "webp"]
 FRESH_SECONDS = 60
 SUMMARY_CHARS = 48_000
 REPLACE_AT, SKIP_AT = 0.92, 0.95
@@ -86,37 +91,42 @@ def set_meta(meta: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def retry_dead(jobs: DataFrame, now: Column) -> DataFrame:
-    """Dead jobs queued again from the first attempt."""
+    """Dead jobs queued again from the first attempt, without their error."""
     dead = F.col("state") == "dead"
-    return jobs.withColumns({"state": F.when(dead, "queued").otherwise(F.col("state")), "attempts": F.when(dead, 0).otherwise(F.col("attempts")), "run_after": F.when(dead, now).otherwise(F.col("run_after"))})
+    new = {"state": F.lit("queued"), "attempts": F.lit(0), "run_after": now, "updated_at": now, "last_error": F.lit("")}
+    return jobs.withColumns({c: F.when(dead, v).otherwise(F.col(c)) for c, v in new.items() if c in jobs.columns})
 
 
 def media_outcomes(files: DataFrame, known: DataFrame, now: Column) -> DataFrame:
-    """path, sha256, kind and outcome of each file (path, content, modified) of a
-    watched folder: fresh (changed under a minute ago), type (not media),
-    already (its content is known, column sha256, or came before), ingested."""
+    """space_id, path, sha256, kind and outcome of each file (space_id, path,
+    content, modified) of watched folders: fresh (changed under a minute ago),
+    type (no media), unsupported (media of a format that is not read), already
+    (the space has its content, columns space_id and sha256 of known, or it came
+    before), ingested. One content in two spaces is two media."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.coalesce(*(F.when(ext.isin(v), k) for k, v in MEDIA.items()))
-    rows = files.select("path", "modified", F.sha2("content", 256).alias("sha256"), kind.alias("kind"))
-    usable = F.col("kind").isNotNull() & (F.col("modified") <= now - F.make_dt_interval(secs=F.lit(FRESH_SECONDS)))
-    nth = F.row_number().over(Window.partitionBy("sha256", usable).orderBy("path"))
-    old = known.select("sha256").distinct().withColumn("old", F.lit(True))
-    out = rows.withColumn("nth", nth).join(old, "sha256", "left")
-    outcome = F.when(F.col("modified") > now - F.make_dt_interval(secs=F.lit(FRESH_SECONDS)), "fresh").when(F.col("kind").isNull(), "type").when(F.col("old").isNotNull() | (F.col("nth") > 1), "already").otherwise("ingested")
-    return out.select("path", "sha256", "kind", outcome.alias("outcome"))
+    kind = F.coalesce(*(F.when(ext.isin(v), k) for k, v in MEDIA.items()), F.when(ext.isin(UNSUPPORTED_MEDIA), "unsupported"))
+    rows = files.select("space_id", "path", "modified", F.sha2("content", 256).alias("sha256"), kind.alias("kind"))
+    recent = F.col("modified") > now - F.make_dt_interval(secs=F.lit(FRESH_SECONDS))
+    usable = F.coalesce(F.col("kind") != "unsupported", F.lit(False)) & ~recent
+    first = rows.filter(usable).groupBy("space_id", "sha256").agg(F.min("path").alias("first"))
+    old = known.select("space_id", "sha256").distinct().withColumn("old", F.lit(True))
+    out = rows.join(first, ["space_id", "sha256"], "left").join(old, ["space_id", "sha256"], "left")
+    outcome = F.when(recent, "fresh").when(F.col("kind").isNull(), "type").when(F.col("kind") == "unsupported", "unsupported").when(F.col("old").isNotNull() | (F.col("path") > F.col("first")), "already").otherwise("ingested")
+    return out.select("space_id", "path", "sha256", "kind", outcome.alias("outcome"))
 
 
 def read_deltas(files: DataFrame, offsets: DataFrame) -> DataFrame:
     """session_id, expect_offset, new_offset and content: what transcript files
     (session_id, content) hold beyond the stored offset, up to their last
-    newline. A file shorter than its offset is read again from the start."""
+    newline, so a line that is half written, even inside a character, waits. A
+    file shorter than its offset is read again from the start."""
     rows = files.join(offsets.select("session_id", F.col("offset").alias("at")), "session_id", "left")
     start = F.when(F.coalesce("at", F.lit(0)) > F.octet_length("content"), 0).otherwise(F.coalesce("at", F.lit(0)))
     rows = rows.withColumn("expect_offset", start.cast("long"))
-    rest = F.expr("decode(substring(content, cast(expect_offset + 1 as int)), 'UTF-8')")
-    whole = F.regexp_extract(rest, r"(?s)\A(.*\n)", 1)
-    out = rows.select("session_id", "expect_offset", whole.alias("content")).filter("content <> ''")
-    return out.withColumn("new_offset", F.col("expect_offset") + F.octet_length("content"))
+    # latin1 has a character for each byte, so the last newline is found and cut at before bytes become text
+    rest = F.expr("decode(substring(content, cast(expect_offset + 1 as int)), 'ISO-8859-1')")
+    rows = rows.withColumn("n", F.length(F.regexp_extract(rest, r"(?s)\A(.*\n)", 1))).filter("n > 0")
+    return rows.select("session_id", "expect_offset", F.expr("decode(substring(content, cast(expect_offset + 1 as int), n), 'UTF-8')").alias("content"), (F.col("expect_offset") + F.col("n")).alias("new_offset"))
 
 
 def gunzip(raws: DataFrame, col: str = "content") -> DataFrame:
@@ -129,39 +139,68 @@ def gunzip(raws: DataFrame, col: str = "content") -> DataFrame:
     return raws.withColumn(col, inflate(col))
 
 
+def _fires(batches: Iterator[pa.RecordBatch], wait: int) -> Iterator[pa.RecordBatch]:
+    """Runs of deltas sorted by session and time; one wait is open at a time."""
+    now, first, n = None, None, 0
+    for batch in batches:
+        out = []
+        for key, at in zip(batch.column("session_id").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            if n and key == now and at <= first + wait:
+                n += 1
+                continue
+            if n:
+                out.append((now, first + wait, n))
+            now, first, n = key, at, 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field("session_id").type, pa.int64(), pa.int64()), strict=True)], ["session_id", "fires_at", "n"])
+        kind = batch.schema.field("session_id").type
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([first + wait]), pa.array([n])], ["session_id", "fires_at", "n"])
+
+
 def debounce(deltas: DataFrame, minutes: int = 10) -> DataFrame:
     """session_id, fires_at and n: deltas (session_id, at) wait for `minutes`
     after the first of them; later ones join without moving the time, and one
-    after it opens the next wait."""
-    wait = minutes * 60_000_000
-    ats = deltas.groupBy("session_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("at").cast("timestamp")))).alias("ats"))
-    zero = F.array().cast("array<struct<first:bigint,n:bigint>>")
-
-    def step(acc: Column, at: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.struct(at.alias("first"), F.lit(1).cast("long").alias("n"))
-        joined = F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"))
-        return F.when(F.size(acc) == 0, F.array(fresh)).when(at <= last["first"] + wait, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.array_append(acc, fresh))
+    after it opens the next wait.
 
-    # the deltas of one session are the turns of one conversation
-    return ats.select("session_id", F.explode(F.aggregate("ats", zero, step)).alias("w")).select("session_id", F.timestamp_micros(F.col("w.first") + wait).alias("fires_at"), F.col("w.n").alias("n"))
+    A delta that comes more than the wait after the one before it opens a wait
+    for sure, so the pieces between such gaps are dealt out apart; a piece is
+    streamed, never gathered."""
+    wait = minutes * 60_000_000
+    kind = dict(deltas.dtypes)["session_id"]
+    rows = deltas.select("session_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    order = Window.partitionBy("session_id").orderBy("at")
+    before = F.lag("at").over(order)
+    rows = rows.withColumn("piece", F.when(before.isNull() | (F.col("at") > before + wait), F.col("at")))
+    rows = rows.withColumn("piece", F.max("piece").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = rows.repartition("session_id", "piece").sortWithinPartitions("session_id", "piece", "at").select("session_id", "at")
+    return dealt.mapInArrow(lambda b: _fires(b, wait), f"session_id {kind}, fires_at long, n long").withColumn("fires_at", F.timestamp_micros("fires_at"))
 
 
 def usage_fields(raw: DataFrame, col: str = "usage") -> DataFrame:
-    """prompt_tokens, completion_tokens and cached_tokens (-1: not told) from the
-    JSON of several vendors."""
+    """prompt_tokens, completion_tokens and cached_tokens from the JSON of several
+    vendors. The prompt is prompt_tokens, else input_tokens, else the total less
+    the completion; a zero counts as not told. cached_tokens is the greater of
+    the details' and prompt_cache_hit_tokens, -1 where neither is told."""
     get = lambda p: F.get_json_object(col, p).cast("long")
-    prompt = F.coalesce(get("$.prompt_tokens"), get("$.input_tokens"))
-    done = F.coalesce(get("$.completion_tokens"), get("$.output_tokens"), F.when(prompt.isNotNull(), get("$.total_tokens") - prompt), F.lit(0))
-    cached = F.coalesce(get("$.prompt_tokens_details.cached_tokens"), get("$.cached_tokens"), F.lit(-1))
-    return raw.withColumns({"prompt_tokens": F.coalesce(prompt, get("$.total_tokens"), F.lit(0)), "completion_tokens": done, "cached_tokens": cached})
+    told = lambda p: F.when(get(p) > 0, get(p))
+    zero = lambda p: F.coalesce(get(p), F.lit(0))
+    prompt = F.coalesce(told("$.prompt_tokens"), told("$.input_tokens"), zero("$.total_tokens") - zero("$.completion_tokens"))
+    details = F.coalesce(F.get_json_object(col, "$.prompt_tokens_details"), F.lit("null")) != "null"
+    cached = F.when(details, F.greatest(zero("$.prompt_tokens_details.cached_tokens"), zero("$.prompt_cache_hit_tokens"))).otherwise(F.coalesce(get("$.prompt_cache_hit_tokens"), F.lit(-1)))
+    return raw.withColumns({"prompt_tokens": prompt, "completion_tokens": zero("$.completion_tokens"), "cached_tokens": cached})
 
 
 def summary_input(lines: DataFrame, keys: list[str], most: int = SUMMARY_CHARS) -> DataFrame:
-    """text: a session's condensed lines, the last `most` characters."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "line"))), lambda x: x["line"]), "\n")
-    rows = lines.groupBy(*keys).agg(whole.alias("text"))
-    return rows.withColumn("text", F.when(F.length("text") > most, F.concat(F.lit("… [cut]\n"), F.right("text", F.lit(most)))).otherwise(F.col("text")))
+    """text: a session's condensed lines (seq, part, line), the last `most`
+    characters. Only the lines that reach into them are gathered."""
+    back = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumn("after", F.coalesce(F.sum(F.length("line") + 1).over(back), F.lit(0)))
+    total = F.max(F.col("after") + F.length("line")).alias("total")
+    near = F.when(F.col("after") < most, F.struct("seq", "part", "line"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(near)), lambda x: x["line"]), "\n")
+    rows = rows.groupBy(*keys).agg(whole.alias("text"), total)
+    return rows.withColumn("text", F.when(F.col("total") > most, F.concat(F.lit("… [cut]\n"), F.right("text", F.lit(most)))).otherwise(F.col("text"))).drop("total")
 
 
 def apply_merges(notes: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,18 +234,29 @@ def valid_merges(merges: DataFrame, batch: DataFrame) -> DataFrame:
     return merges.join(per, "merge_id", "left").withColumn("error", error).drop("foreign", "m", "kinds")
 
 
-def dedupe_plan(new: DataFrame, existing: DataFrame, top: DataFrame, replace_at: float = REPLACE_AT) -> DataFrame:
-    """id and replaces: for new knowledge notes (id, kind, opening) the existing
-    note (id, kind, opening) that each takes the place of: the nearest of its
-    kind if as similar as replace_at, else the first of its best five hits with
-    the same opening. top: query_id, id, score, pos of the new notes' hits."""
-    hits = top.join(existing.select("id", F.col("kind").alias("k"), F.col("opening").alias("o")), "id").join(new.select(F.col("id").alias("query_id"), "kind", "opening"), "query_id").filter("k = kind")
-    hits = hits.withColumn("kp", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
-    near = F.min_by("id", "pos").alias("near"), F.max("score").alias("best")
-    alike = F.min(F.when((F.col("kp") <= 5) & (F.col("opening") == F.col("o")), F.struct("pos", "id")))["id"].alias("alike")
-    per = hits.groupBy("query_id").agg(*near, alike)
-    chosen = F.when(F.col("best") >= replace_at, F.col("near")).otherwise(F.col("alike"))
-    return per.select(F.col("query_id").alias("id"), chosen.alias("replaces")).filter("replaces is not null")
+def dedupe_plan(new: DataFrame, existing: DataFrame, replace_at: float = REPLACE_AT, candidates: int = 5) -> DataFrame:
+    """id and replaces: for new knowledge notes the existing note that each takes
+    the place of: of the `candidates` nearest of its space and kind the first, if
+    as similar as replace_at, else the nearest with the same opening. Both tables
+    have id, space_id, kind, opening and vec; existing holds live notes. A note is
+    not compared with itself."""
+    own = new.filter(F.col("kind").isin(*KNOWLEDGE_KINDS))
+    hits = vector_topk(existing, own.withColumnRenamed("id", "query_id"), candidates, group=("space_id", "kind"), exclude_self=True)
+    rows = hits.join(existing.select("id", F.col("opening").alias("o")), "id").join(own.select(F.col("id").alias("query_id"), "opening"), "query_id")
+    near, best = F.min_by("id", "pos"), F.max("score")
+    alike = F.min(F.when(F.col("opening") == F.col("o"), F.struct("pos", "id")))["id"]
+    per = rows.groupBy("query_id").agg(F.when(best >= replace_at, near).otherwise(alike).alias("replaces"))
+    return per.select(F.col("query_id").alias("id"), "replaces").filter("replaces is not null")
+
+
+def captured_window(now: Column, last_day: Column, start_hour: int = 4) -> tuple[Column, Column]:
+    """From when to when a recap looks back: from the start of the work day of
+    the last briefing (a date, null if there was none) to the start of today's.
+    A last day that is today, or over seven days ago, means yesterday."""
+    day = work_day(now, start_hour)
+    begin = lambda d: d.cast("timestamp") + F.make_dt_interval(hours=F.lit(start_hour))
+    usable = (last_day < day) & (last_day >= F.date_sub(day, 7))
+    return begin(F.when(F.coalesce(usable, F.lit(False)), last_day).otherwise(F.date_sub(day, 1))), begin(day)
 
 
 def captured(notes: DataFrame, tasks: DataFrame, start: Column, end: Column, most: int = 8) -> DataFrame:
@@ -254,7 +304,8 @@ def extraction_recall(found: DataFrame, expected: DataFrame) -> DataFrame:
     share whose normalised text some found note (session_id, text) contains."""
     from loreforge.functions.text import norm_title
 
-    e = expected.select("session_id", "expect", norm_title(F.col("expect")).alias("e"))
-    f = found.groupBy("session_id").agg(F.array_join(F.collect_list(norm_title(F.col("text"))), "\n").alias("f"))
-    hit = e.join(f, "session_id", "left").withColumn("hit", F.coalesce(F.contains("f", F.col("e")), F.lit(False)))
-    return hit.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("recall"))
+    # an expectation meets each note of its session by itself: no session is gathered
+    e = expected.select("session_id", norm_title(F.col("expect")).alias("e"))
+    f = found.select("session_id", norm_title(F.col("text")).alias("f"))
+    hits = e.join(f, (e["session_id"] == f["session_id"]) & F.contains("f", F.col("e")), "left_semi")
+    return e.agg(F.count(F.lit(1)).alias("n")).crossJoin(hits.agg(F.count(F.lit(1)).alias("h"))).select("n", F.try_divide(F.col("h"), F.col("n")).cast("double").alias("recall"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreforge.functions.dates import work_day
 from loreforge.functions.text import clip
-from loreforge.operators.chunking import pack
 
-STALE_DAYS, SOON_DAYS = 14, 3
+STALE_DAYS, SOON_DAYS, RELATION_DAYS = 14, 3, 30
 SECTION_LIMITS = {"due": 10, "waiting": 10, "open": 20, "decision": 12, "preference": 12, "note": 10, "episode": 5, "relation": 10}
 LONG_PROMPT, LARGE_BODY, SLOW_MS = 30_000, 256 * 1024, 60_000
 
@@ -45,28 +47,42 @@ def task_flags(tasks: DataFrame, now: Column) -> DataFrame:
     return tasks.withColumns({"overdue": overdue, "stale": open_ & (F.col("updated_at") < now - F.make_interval(days=F.lit(STALE_DAYS)))})
 
 
-def briefing_items(tasks: DataFrame, notes: DataFrame, episodes: DataFrame, relations: DataFrame, now: str, now_h: int, family: str | None = None) -> DataFrame:
+def recent_relations(relations: DataFrame, notes: DataFrame, since: Column) -> DataFrame:
+    """Relations created from `since` on, without those of deleted notes."""
+    gone = notes.filter("deleted_h is not null").select(F.col("id").alias("source_note_id"))
+    return relations.filter(F.col("created_at") >= since).join(gone, "source_note_id", "left_anti").select(*relations.columns)
+
+
+def briefing_items(tasks: DataFrame, notes: DataFrame, episodes: DataFrame, relations: DataFrame, now: str, now_h: int, project: str | None = None, start_hour: int = 4) -> DataFrame:
     """space_id, section (1 to 8), nth and line of the briefing of each space:
     due, waiting and open tasks, decisions, preferences, relations, sessions and
     notes, each within its limit; a task or note stands in its first section
-    only. `now` is a timestamp, now_h the same in the hours of notes."""
+    only. `now` is a timestamp, now_h the same in the hours of notes. Due is what
+    ends within SOON_DAYS of the work day, which begins at start_hour. With a
+    project, open tasks are those of its family, its own first, and a last line
+    counts the others."""
     at = F.lit(now).cast("timestamp")
     limited = lambda df, order, n: df.withColumn("nth", F.row_number().over(Window.partitionBy("space_id").orderBy(*order))).filter(F.col("nth") <= n)
     open_ = tasks.filter("status = 'open'")
-    soon = F.date_add(F.to_date(at), SOON_DAYS)
+    soon = F.date_add(work_day(at, start_hour), SOON_DAYS)
     due = limited(open_.filter(F.col("due_at") <= soon), [F.col("due_at"), F.col("id")], SECTION_LIMITS["due"])
     waiting = limited(open_.filter("waiting_on is not null"), [F.col("updated_at"), F.col("id")], SECTION_LIMITS["waiting"])
-    own = open_ if family is None else open_.filter(in_family(F.col("project"), family))
-    rest = limited(own, [F.col("updated_at").desc(), F.col("id")], SECTION_LIMITS["open"])
+    own = open_ if project is None else open_.filter(in_family(F.col("project"), project))
+    prefer = [] if project is None else [F.when(F.coalesce("project", F.lit("")) == project, 0).otherwise(1)]
+    rest = limited(own, [*prefer, F.col("updated_at").desc(), F.col("id")], SECTION_LIMITS["open"])
     line = F.concat(F.lit("- "), F.col("title"))
     items = [df.select("space_id", F.lit(s).alias("section"), "nth", F.concat(F.lit("t"), F.col("id").cast("string")).alias("key"), line.alias("line")) for s, df in ((1, due), (2, waiting), (3, rest))]
+    if project is not None:
+        outside = open_.filter(~in_family(F.col("project"), project)).groupBy("space_id").agg(F.count(F.lit(1)).alias("n"))
+        items.append(outside.select("space_id", F.lit(3).alias("section"), F.lit(SECTION_LIMITS["open"] + 1).alias("nth"), F.lit("outside").alias("key"), F.format_string("- … and %d tasks of other projects", "n").alias("line")))
     live = notes.filter("status = 'active' and deleted_h is null")
     for s, kind, hours in ((4, "decision", 24 * 30), (5, "preference", None), (8, "note", 24 * 7)):
         some = live.filter(F.col("kind") == kind) if hours is None else live.filter((F.col("kind") == kind) & (F.col("updated_h") >= now_h - hours))
         some = limited(some, [F.col("updated_h").desc(), F.col("id")], SECTION_LIMITS[kind])
         why = F.when(F.col("why").isNotNull() & ~F.contains("text", F.col("why")), F.concat(F.lit(" (why: "), F.col("why"), F.lit(")"))).otherwise("")
         items.append(some.select("space_id", F.lit(s).alias("section"), "nth", F.concat(F.lit("n"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("- "), clip(F.col("text")), why).alias("line")))
-    rel = limited(relations, [F.col("created_at").desc(), F.col("id").desc()], SECTION_LIMITS["relation"])
+    rel = recent_relations(relations, notes, F.date_sub(work_day(at, start_hour), RELATION_DAYS).cast("timestamp"))
+    rel = limited(rel, [F.col("created_at").desc(), F.col("id").desc()], SECTION_LIMITS["relation"])
     text = F.format_string("- %s → %s (%s)", "from_ref", "to_ref", "rel_type")
     items.append(rel.select("space_id", F.lit(6).alias("section"), "nth", F.concat_ws("|", F.lit("r"), "from_ref", "to_ref", "rel_type").alias("key"), text.alias("line")))
     epi = limited(episodes, [F.col("at_m").desc(), F.col("session_id"), F.col("seq")], SECTION_LIMITS["episode"])
@@ -125,24 +141,51 @@ def usage_anomalies(calls: DataFrame) -> DataFrame:
     return calls.select("id", "op", F.concat_ws(",", why).alias("why")).filter("why <> ''")
 
 
-def sampled_calls(calls: DataFrame, every: int = 50) -> DataFrame:
-    """The first and every 50th call of each op, model and purpose."""
-    nth = F.row_number().over(Window.partitionBy("op", "model", "purpose").orderBy("ts", "id"))
-    return calls.withColumn("nth", nth).filter((F.col("nth") == 1) | (F.col("nth") % every == 0)).select("id", "op", "model", "purpose", "nth")
+def sampled_calls(calls: DataFrame, every: int = 50, bucket: str = "hour") -> DataFrame:
+    """The first and every 50th call of each op, model and purpose. Calls are
+    numbered within time buckets, and buckets by the sums of those before, so a
+    group of any size is never sorted in one task."""
+    key = ["op", "model", "purpose"]
+    rows = calls.withColumn("b", F.date_trunc(bucket, "ts"))
+    nth = F.row_number().over(Window.partitionBy(*key, "b").orderBy("ts", "id"))
+    sums = rows.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("n"))
+    base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "b")])
+    numbered = rows.withColumn("nth", nth).alias("r").join(base.alias("s"), same).select("r.id", *(f"r.{c}" for c in key), (F.col("r.nth") + F.col("s.base")).alias("nth"))
+    return numbered.filter((F.col("nth") == 1) | (F.col("nth") % every == 0))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Numbers the batches of rows that come sorted by group and id; at most one
+    batch of rows is held."""
+    group, held, batch_no, waiting = None, 0, 0, []
+    for batch in batches:
+        out = []
+        cols = [batch.column(c).to_pylist() for c in ("space_id", "proj", "kind", "id", "n")]
+        for s, p, k, i, n in zip(*cols, strict=True):
+            if (s, p, k) != group or (held and held + n + 1 > most):
+                if len(waiting) > 1:
+                    out += waiting
+                batch_no = 0 if (s, p, k) != group else batch_no + 1
+                group, held, waiting = (s, p, k), 0, []
+            held += n + 1
+            waiting.append((s, p, k, i, batch_no))
+        schema = pa.schema([*(batch.schema.field(c) for c in ("space_id", "proj", "kind", "id")), pa.field("batch", pa.int64())])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    if len(waiting) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
 
 
 def consolidation_batches(notes: DataFrame, most: int = 20_000, line_chars: int = 200) -> DataFrame:
     """id and batch of the knowledge notes to consolidate together: by space,
     project and kind, in order of id, lines packed up to `most` characters;
-    batches of one note are left out."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        pdf["batch"] = pack(pdf["n"].tolist(), most)
-        return pdf[pdf.groupby("batch")["id"].transform("size") >= 2][["space_id", "proj", "kind", "id", "batch"]]
-
-    rows = notes.filter("status = 'active' and deleted_h is null").select("space_id", F.coalesce("project", F.lit("")).alias("proj"), "kind", "id", (F.least(F.length("text"), F.lit(line_chars)) + 8).alias("n"))
-    return rows.groupBy("space_id", "proj", "kind").applyInPandas(one, "space_id long, proj string, kind string, id long, batch long")
+    batches of one note are left out. Notes are streamed in order; only one batch
+    is held, so a group of any size passes."""
+    rows = notes.filter("status = 'active' and deleted_h is null").select("space_id", F.coalesce("project", F.lit("")).alias("proj"), "kind", "id", (F.least(F.length("text"), F.lit(line_chars)) + 8).cast("int").alias("n"))
+    dealt = rows.repartition("space_id", "proj", "kind").sortWithinPartitions("space_id", "proj", "kind", "id")
+    kinds = dict(rows.dtypes)
+    return dealt.mapInArrow(lambda b: _packed(b, most), f"space_id {kinds['space_id']}, proj string, kind string, id {kinds['id']}, batch long")
 
 
 def merge_guard(batch_sizes: DataFrame, removed: Column) -> DataFrame:
@@ -168,9 +211,10 @@ def near_opening(notes: DataFrame, opening: Column) -> DataFrame:
 
 
 def sequential_near_dups(vectors: DataFrame, group_cols: list[str], skip_at: float = 0.95) -> DataFrame:
-    """Notes of one batch in order of id: one that is as similar as skip_at to an
-    earlier one that was kept is skipped, and names it. Groups are batches of an
-    extraction and small by nature."""
+    """Notes of one batch (group_cols, id, kind, vec) in order of id: one that is
+    as similar as skip_at to an earlier one of its kind that was kept is skipped,
+    and names it. Groups are the notes that one extraction gave, which its
+    windows bound; other callers bound them."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -179,13 +223,14 @@ def sequential_near_dups(vectors: DataFrame, group_cols: list[str], skip_at: flo
         m = np.stack(pdf["vec"].to_list()).astype(np.float64)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        kept, of = [], []
+        kinds, kept, of = pdf["kind"].to_list(), {}, []
         for i in range(len(m)):
-            sims = m[kept] @ m[i] if kept else np.empty(0)
+            mine = kept.setdefault(kinds[i], [])
+            sims = m[mine] @ m[i] if mine else np.empty(0)
             j = np.flatnonzero(sims >= skip_at - 1e-12)
-            of.append(None if not len(j) else int(pdf["id"].iloc[kept[j[0]]]))
+            of.append(None if not len(j) else int(pdf["id"].iloc[mine[j[0]]]))
             if not len(j):
-                kept.append(i)
+                mine.append(i)
         return pd.DataFrame({**{c: pdf[c].to_numpy() for c in group_cols}, "id": pdf["id"].to_numpy(), "copy_of": pd.array(of, "Int64")})
 
     kinds = ", ".join(f"{c} {dict(vectors.dtypes)[c]}" for c in group_cols)

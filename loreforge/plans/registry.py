@@ -4,14 +4,16 @@ where SQL can say it. The memory tables are derived as in sources.adapters."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions import dates, text, vectors
 from loreforge.operators import chunking, reports, search, state, transcripts
 from loreforge.sources import documents, sinks
 from loreforge.sources.adapters import cte, load
+from loreforge.sources.scratch import spread
 from loreforge.streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +22,7 @@ ORACLES: dict[str, str] = {}
 NOW = "2001-06-01 12:00:00"
 #: The same moment in the hours of notes.
 NOW_H = 9000
+_AT = "TIMESTAMP '2024-01-15 00:00:00'"
 _TOKENS = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -76,23 +79,24 @@ bmr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORD
 
 @query(f"SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_tokens, round(avg(len(t)), 6) AS avgdl FROM (SELECT {_tokens('text')} AS t FROM documents)")
 def fts_corpus_stats(spark, sf):
-    return search.corpus_stats(_docs(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
+    return search.TextIndex.build(_docs(spark, sf), store=False).stats().withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def fts_term_stats(spark, sf):
-    return search.postings(_docs(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return search.TextIndex.build(_docs(spark, sf), store=False).postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("WITH " + _fill(_BM25, where="", n=10) + " SELECT query_id, id, round(score, 6) AS score, pos FROM bmr")
 def fts_bm25_topk(spark, sf):
-    return search.bm25(_docs(spark, sf), _queries(spark, sf), limit=10).withColumn("score", F.round("score", 6))
+    return search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), limit=10).withColumn("score", F.round("score", 6))
 
 
 @query(cte("notes") + ", " + _fill(_BM25, where="WHERE id IN (SELECT id FROM notes WHERE status = 'active' AND deleted_h IS NULL AND space_id IN (1, 2) AND kind IN ('note', 'fact', 'decision') AND lang = 'en')", n=10) + " SELECT query_id, id, round(score, 6) AS score, pos FROM bmr")
 def fts_filtered_topk(spark, sf):
-    allowed = _live(load(spark, sf, "notes")).filter(F.col("space_id").isin(1, 2) & F.col("kind").isin("note", "fact", "decision") & F.array_contains(F.array("lang", "tag2"), "en"))
-    return search.bm25(_docs(spark, sf), _queries(spark, sf), allowed, 10).withColumn("score", F.round("score", 6))
+    notes = load(spark, sf, "notes").withColumn("tags", F.array("lang", "tag2"))
+    allowed = search.allowed_notes(notes, spaces=[1, 2], kinds=["note", "fact", "decision"], tags=["en"])
+    return search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), allowed, 10).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- vectors
@@ -104,7 +108,7 @@ def _vectors(spark, sf):
 
 def _vector_hits(spark, sf, n):
     v = _vectors(spark, sf)
-    return search.vector_topk(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), n)
+    return search.vector_topk(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), n, exclude_self=True)
 
 
 _VEC = """
@@ -133,10 +137,19 @@ def vector_quantise(spark, sf):
     return q.select("id", F.round("z.scale", 9).alias("scale"), whole.alias("q_sum"), F.array_max("z.q").cast("long").alias("q_max"), F.size("z.q").cast("long").alias("dim"))
 
 
-@query("WITH " + _QUANT + " SELECT count(*) AS n, max(abs(1 - scale * list_sum(list_transform(list_zip(q, u), lambda z: z[1] * z[2])))) <= 0.01 AS within FROM iv")
+@query("WITH " + _QUANT + " SELECT id, round(abs(1 - scale * list_sum(list_transform(list_zip(q, u), lambda z: z[1] * z[2]))), 9) AS error FROM iv")
 def vector_int8_error(spark, sf):
-    q = _vectors(spark, sf).select(vectors.unit(F.col("vec")).alias("u"), vectors.quantise(F.col("vec")).alias("z"))
-    return q.select(F.abs(1 - F.col("z.scale") * vectors.dot(F.col("z.q"), F.col("u"))).alias("e")).agg(F.count(F.lit(1)).alias("n"), (F.max("e") <= 0.01).alias("within"))
+    """How far the product of each vector with its stored form is from 1."""
+    q = _vectors(spark, sf).select("id", vectors.unit(F.col("vec")).alias("u"), vectors.quantise(F.col("vec")).alias("z"))
+    return q.select("id", F.round(F.abs(1 - F.col("z.scale") * vectors.dot(F.col("z.q"), F.col("u"))), 9).alias("error"))
+
+
+@query("WITH " + _QUANT + ", qs AS (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.u, b.q::DOUBLE[]) AS score FROM iv a JOIN iv b ON a.id <> b.id WHERE a.id % 20 = 0) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM qs QUALIFY pos <= 10")
+def vector_int8_topk(spark, sf):
+    """The search as it runs on stored vectors: exact queries against int8 ones."""
+    v = _vectors(spark, sf)
+    stored = v.select("id", vectors.dequantise(vectors.quantise(F.col("vec"))).alias("vec"))
+    return search.vector_topk(stored, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 10, exclude_self=True).withColumn("score", F.round("score", 6))
 
 
 @query("WITH d AS (SELECT doc_id FROM documents) SELECT doc_id AS id FROM d WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -158,7 +171,7 @@ _HYBRID = (
     _BM25
     + """,
 ev AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-vs AS (SELECT q.id AS query_id, e.id, list_cosine_similarity(q.v, e.v) AS score FROM ev q JOIN ev e ON q.id <> e.id WHERE q.id IN (SELECT item_id FROM benchmark) {vwhere}),
+vs AS (SELECT q.id AS query_id, e.id, list_cosine_similarity(q.v, e.v) AS score FROM ev q CROSS JOIN ev e WHERE q.id IN (SELECT item_id FROM benchmark) {vwhere}),
 vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM vs QUALIFY pos <= 50),
 fu AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + pos)) AS score FROM (SELECT query_id, id, pos FROM bmr UNION ALL SELECT query_id, id, pos FROM vr) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rrf_pos FROM fu QUALIFY rrf_pos <= 20)
@@ -168,7 +181,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query("WITH " + _fill(_HYBRID, where="", n=50, vwhere="") + " SELECT query_id, id, round(score, 9) AS score, rrf_pos AS pos FROM fr")
 def rrf_fusion(spark, sf):
-    lex = search.bm25(_docs(spark, sf), _queries(spark, sf))
+    lex = search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf))
     return search.rrf(lex, _query_vectors(spark, sf)).withColumn("score", F.round("score", 9))
 
 
@@ -180,9 +193,14 @@ rr AS (
 """
 
 
-@query("WITH " + _fill(_HYBRID, where="", n=50, vwhere="") + "," + _RERANK + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM rr WHERE score >= 0.2 QUALIFY pos <= 5")
+#: Vectors of chunks that are not in the index are no hits.
+_INDEXED = "AND e.id IN (SELECT doc_id FROM documents)"
+
+
+@query("WITH " + _fill(_HYBRID, where="", n=50, vwhere=_INDEXED) + "," + _RERANK + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM rr WHERE score >= 0.2 QUALIFY pos <= 5")
 def recall_hybrid(spark, sf):
-    return search.recall(_docs(spark, sf), _queries(spark, sf), _query_vectors(spark, sf)).withColumn("score", F.round("score", 6))
+    hits = search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [_query_vectors(spark, sf)])
+    return hits.drop("chunk_id").withColumn("score", F.round("score", 6))
 
 
 _NOTE_FILTER = "id IN (SELECT id FROM notes WHERE status = 'active' AND deleted_h IS NULL AND space_id = 1)"
@@ -199,20 +217,57 @@ def recall_project_boost(spark, sf):
     v = _vectors(spark, sf).join(notes.select("id"), "id", "left_semi")
     q = _vectors(spark, sf).join(_queries(spark, sf).select(F.col("query_id").alias("id")), "id").withColumnRenamed("id", "query_id")
     hits = search.vector_topk(v, q, 50)
-    return search.recall(_docs(spark, sf), _queries(spark, sf), hits, notes, "src0", rerank=False).withColumn("score", F.round("score", 9))
+    got = search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [hits], notes=notes, project="src0", rerank=None)
+    return got.drop("chunk_id").withColumn("score", F.round("score", 9))
 
 
 @query("WITH " + _fill(_BM25, where="", n=50) + ", rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''), per AS (SELECT query_id, avg(CASE WHEN pos <= 10 THEN 1.0 ELSE 0 END) AS recall, coalesce(max(1.0 / pos), 0) AS rr FROM rel LEFT JOIN bmr USING (query_id, id) GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM per")
 def recall_eval_at10(spark, sf):
     docs, q = _docs(spark, sf), _queries(spark, sf)
-    ranked = search.bm25(docs, q, limit=50)
-    # the passage is in the text only if its tokens are: only documents that share its rarest token are compared
-    post = search.postings(docs)
+    index = search.TextIndex.build(docs)
+    ranked = search.bm25(index, q, limit=50)
+    # a passage stands in a text only with all its tokens but the first and the last, which may be parts of the
+    # text's: only texts that share the rarest of the others are compared; passages without others with all texts
+    t = text.fts_tokens(F.col("query"))
+    inner = q.filter("query <> ''").select("query_id", F.explode(F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))).alias("term"))
+    post = index.postings(inner.select("term").distinct())
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = q.filter("query <> ''").select("query_id", "query", F.explode(F.slice(text.fts_tokens(F.col("query")), 2, 100000)).alias("term")).join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("m")).select("query_id", F.col("m.term").alias("term"))
-    near = rare.join(post.select("id", "term"), "term").select("query_id", "id").join(q, "query_id").join(docs, "id")
-    relevant = near.filter(F.contains("text", F.col("query"))).select("query_id", "id")
-    return search.evaluate(ranked, relevant).withColumns({"recall_at_k": F.round("recall_at_k", 6), "mrr": F.round("mrr", 6)})
+    rare = inner.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("m")).select("query_id", F.col("m.term").alias("term"))
+    near = rare.join(post.select("id", "term"), "term").select("query_id", "id").join(q, "query_id").join(docs, "id").filter(F.contains("text", F.col("query"))).select("query_id", "id")
+    # such passages are one or two words, and few: a stated query set
+    short = F.broadcast(q.filter("query <> ''").join(inner.select("query_id").distinct(), "query_id", "left_anti"))
+    rest = docs.join(short, F.contains("text", F.col("query"))).select("query_id", "id")
+    return search.evaluate(ranked, near.unionByName(rest)).withColumns({"recall_at_k": F.round("recall_at_k", 6), "mrr": F.round("mrr", 6)})
+
+
+# ---------------------------------------------------------------- recall of notes with several chunks
+
+#: A note is the texts of one source and language; its chunks are the documents.
+_OWNER = "SELECT dense_rank() OVER (ORDER BY source, lang) AS note_id, doc_id AS id FROM documents"
+
+
+@query(
+    "WITH "
+    + _fill(_HYBRID.split("fu AS (")[0].rstrip().rstrip(","), where="", n=50, vwhere=_INDEXED)
+    + f""", ow AS ({_OWNER}),
+cl AS (SELECT query_id, note_id, min(pos) AS p, arg_min(id, pos) AS chunk_id FROM bmr JOIN ow USING (id) GROUP BY ALL),
+lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS pos FROM cl),
+cv AS (SELECT query_id, note_id, min(pos) AS p, arg_min(id, pos) AS chunk_id FROM vr JOIN ow USING (id) GROUP BY ALL),
+vx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS pos FROM cv),
+fu AS (SELECT query_id, note_id, sum(1.0::DOUBLE / (60 + pos)) AS score, arg_min(chunk_id, o) AS chunk_id FROM (SELECT query_id, note_id, pos, chunk_id, 0 AS o FROM lx UNION ALL SELECT query_id, note_id, pos, chunk_id, 1 FROM vx) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, note_id) AS rrf_pos FROM fu QUALIFY rrf_pos <= 20),
+qd AS (SELECT item_id AS query_id, list_distinct({_tokens('text')}) AS q FROM benchmark),
+rr AS (SELECT fr.query_id, note_id AS id, chunk_id, len(list_intersect(q, list_distinct(t)))::DOUBLE / len(q) AS score FROM fr JOIN qd USING (query_id) JOIN dt ON dt.id = chunk_id)
+SELECT query_id, id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM rr WHERE score >= 0.2 QUALIFY pos <= 5"""
+)
+def recall_notes(spark, sf):
+    """Recall where notes have many chunks: each note takes one place."""
+    d = load(spark, sf, "documents").select("doc_id", "source", "lang")
+    notes = d.select("source", "lang").distinct()
+    # a row per source and language
+    notes = notes.withColumn("note_id", F.row_number().over(Window.orderBy("source", "lang")).cast("long"))
+    owner = d.join(F.broadcast(notes), d["source"].eqNullSafe(notes["source"]) & d["lang"].eqNullSafe(notes["lang"])).select(F.col("doc_id").alias("id"), "note_id")
+    return search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [_query_vectors(spark, sf)], owner=owner).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- text
@@ -239,7 +294,7 @@ _SECRETS = "(SELECT doc_id AS id, concat('api_key=', md5(doc_id::VARCHAR), ' x '
 def redact_text(spark, sf):
     d = load(spark, sf, "documents")
     t = F.concat(F.lit("api_key="), F.md5(F.col("doc_id").cast("string")), F.lit(" x "), F.coalesce("text", F.lit("")), F.lit(" Bearer "), F.md5("lang"))
-    return d.select(F.col("doc_id").alias("id"), F.md5(text.redact(t)).alias("redacted"))
+    return spread(d.select(F.col("doc_id").alias("id"), t.alias("t"))).select("id", F.md5(text.redact(F.col("t"))).alias("redacted"))
 
 
 def _sql_counts() -> str:
@@ -255,7 +310,7 @@ def _sql_counts() -> str:
 def redact_counts(spark, sf):
     d = load(spark, sf, "documents")
     t = F.concat(F.lit("api_key="), F.md5(F.col("doc_id").cast("string")), F.lit(" x "), F.coalesce("text", F.lit("")), F.lit(" Bearer "), F.md5("lang"))
-    return d.select(text.redact_counts(t).alias("r")).select("r.*").agg(*(F.sum(n.replace("-", "_")).alias(n.replace("-", "_")) for n in text.REDACTION_NAMES))
+    return text.redact_counts(spread(d.select(t.alias("t"))), "t").agg(*(F.sum(n.replace("-", "_")).alias(n.replace("-", "_")) for n in text.REDACTION_NAMES))
 
 
 _NORM_SQL = "trim(regexp_replace(translate(lower({c}), '" + "".join(text.FOLD.values()) + "', '" + "".join(k * len(v) for k, v in text.FOLD.items()) + "'), '[^\\p{L}\\p{Nd}]+', ' ', 'g'))"
@@ -283,17 +338,17 @@ def clip_lines(spark, sf):
 
 @query()
 def chunk_documents(spark, sf):
-    return chunking.chunk(_docs(spark, sf))
+    return chunking.chunk(spread(_docs(spark, sf)))
 
 
 @query()
 def html_to_text(spark, sf):
-    return documents.parse_html(load(spark, sf, "pages"), "page_id", "html")
+    return documents.parse_html(spread(load(spark, sf, "pages")), "page_id", "html")
 
 
 @query()
 def html_chunks(spark, sf):
-    return chunking.chunk(documents.parse_html(load(spark, sf, "pages"), "page_id", "html"), "page_id")
+    return chunking.chunk(documents.parse_html(spread(load(spark, sf, "pages")), "page_id", "html"), "page_id")
 
 
 # ---------------------------------------------------------------- notes and tasks
@@ -380,11 +435,10 @@ def notes_created_between(spark, sf):
     return load(spark, sf, "notes").filter("deleted_h is null and created_h >= 100 and created_h < 700").filter(F.col("source").isin("hook:stop", "tool:remember")).select("id", "kind", "source")
 
 
-@query(cte("notes", "relations") + " SELECT r.id, r.from_ref, r.to_ref FROM relations r LEFT JOIN notes n ON r.source_note_id = n.id WHERE created_at >= TIMESTAMP '1999-01-01' AND (r.source_note_id IS NULL OR (n.id IS NOT NULL AND n.deleted_h IS NULL))")
+@query(cte("notes", "relations") + " SELECT r.id, r.from_ref, r.to_ref FROM relations r LEFT JOIN notes n ON r.source_note_id = n.id WHERE created_at >= TIMESTAMP '1999-01-01' AND (r.source_note_id IS NULL OR n.deleted_h IS NULL)")
 def relations_recent(spark, sf):
-    r, n = load(spark, sf, "relations"), load(spark, sf, "notes").select(F.col("id").alias("nid"), "deleted_h")
-    out = r.filter("created_at >= timestamp'1999-01-01'").join(n, F.col("source_note_id") == F.col("nid"), "left")
-    return out.filter("source_note_id is null or (nid is not null and deleted_h is null)").select("id", "from_ref", "to_ref")
+    out = reports.recent_relations(load(spark, sf, "relations"), load(spark, sf, "notes"), F.lit("1999-01-01").cast("timestamp"))
+    return out.select("id", "from_ref", "to_ref")
 
 
 @query(cte("episodes") + " SELECT space_id, session_id, seq, row_number() OVER (PARTITION BY space_id ORDER BY at_m DESC, session_id, seq) AS nth FROM episodes QUALIFY nth <= 5")
@@ -403,9 +457,11 @@ def same_opening(spark, sf):
 
 @query()
 def near_dup_batches(spark, sf):
-    """Vectors of one label are a batch, split by hash to the size of one extraction."""
-    v = _vectors(spark, sf).withColumn("batch", F.floor(F.col("id") / 50))
-    return reports.sequential_near_dups(v, ["batch"], 0.5)
+    """The notes of a label are what one extraction gave, at most 50 by id. The
+    test vectors have no near copies, so the bound is lower than in use."""
+    n = load(spark, sf, "notes").select("id", "kind")
+    v = _vectors(spark, sf).join(n, "id").withColumn("batch", F.floor(F.col("id") / 50))
+    return reports.sequential_near_dups(v, ["batch"], 0.3)
 
 
 # ---------------------------------------------------------------- jobs, purge, status
@@ -416,17 +472,44 @@ def job_state_counts(spark, sf):
     return load(spark, sf, "jobs").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-_AT = "TIMESTAMP '2024-01-15 00:00:00'"
-
-
 @query(cte("jobs") + f" SELECT id, state FROM jobs WHERE (state IN ('queued', 'failed') AND run_after <= {_AT}) OR (state = 'running' AND updated_at < {_AT} - INTERVAL 30 MINUTE)")
 def job_claim_eligible(spark, sf):
     return state.jobs_to_run(load(spark, sf, "jobs"), F.lit("2024-01-15").cast("timestamp")).select("id", "state")
 
 
-@query(cte("jobs") + " SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 5 THEN 'dead' ELSE 'failed' END AS state, CASE WHEN attempts + 1 < 5 THEN least(3600, 30 * 2 ** attempts)::BIGINT END AS delay_s FROM jobs WHERE state = 'running'")
+@query(
+    cte("jobs")
+    + f""", o AS (SELECT *, CASE WHEN state = 'running' THEN CASE id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'permanent' ELSE 'deferred' END END AS o FROM jobs)
+SELECT id, CASE WHEN o = 'done' THEN 'done' WHEN o = 'permanent' OR (o = 'failed' AND attempts >= 5) THEN 'dead' WHEN o = 'failed' THEN 'failed' WHEN o = 'deferred' THEN 'queued' ELSE state END AS state,
+  CASE WHEN o = 'deferred' THEN greatest(attempts - 1, 0) ELSE attempts END AS attempts,
+  CASE WHEN o = 'failed' AND attempts < 5 THEN {_AT} + to_seconds(least(3600, 30 * 2 ** (greatest(attempts, 1) - 1))::BIGINT) WHEN o = 'deferred' THEN {_AT} + INTERVAL 1 DAY ELSE run_after END AS run_after,
+  CASE WHEN o IS NOT NULL THEN {_AT} ELSE updated_at END AS updated_at FROM o"""
+)
 def job_backoff_transition(spark, sf):
-    return state.failed_jobs(load(spark, sf, "jobs"))
+    """Running jobs end in the four ways that there are."""
+    j = load(spark, sf, "jobs")
+    how = F.element_at(F.array(*(F.lit(x) for x in ("done", "failed", "permanent", "deferred"))), (F.col("id") % 4 + 1).cast("int"))
+    now = F.lit("2024-01-15").cast(j.schema["run_after"].dataType)
+    ends = j.select("id", how.alias("outcome"), F.lit("e").alias("error"), (now + F.expr("INTERVAL 1 DAY")).alias("until"))
+    return state.settle_jobs(j, ends, now).select("id", "state", "attempts", "run_after", "updated_at")
+
+
+@query(
+    cte("jobs")
+    + f""", e AS (SELECT id FROM jobs WHERE (state IN ('queued', 'failed') AND run_after <= {_AT}) OR (state = 'running' AND updated_at < {_AT} - INTERVAL 30 MINUTE) ORDER BY id LIMIT 25)
+SELECT id, id IN (FROM e) AS claimed, CASE WHEN id IN (FROM e) THEN 'running' ELSE state END AS state, attempts + (id IN (FROM e))::INT AS attempts, CASE WHEN id IN (FROM e) THEN {_AT} ELSE updated_at END AS updated_at FROM jobs"""
+)
+def job_claim(spark, sf):
+    """25 workers claim a job each."""
+    j = load(spark, sf, "jobs")
+    return state.claim_jobs(j, F.lit("2024-01-15").cast(j.schema["run_after"].dataType), 25).select("id", "claimed", "state", "attempts", "updated_at")
+
+
+@query(cte("jobs") + " SELECT id, type, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS nth FROM jobs WHERE state = 'dead' QUALIFY nth <= 20")
+def jobs_dead_newest(spark, sf):
+    """The dead jobs that a status report shows."""
+    j = load(spark, sf, "jobs").filter("state = 'dead'").orderBy(F.desc("updated_at"), F.desc("id")).limit(20)
+    return j.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("id")))).select("id", "type", "nth")
 
 
 @query(cte("jobs") + " SELECT DISTINCT type, payload FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM jobs a WHERE a.state IN ('queued', 'failed', 'running') AND a.type = j.type AND a.payload = j.payload)")
@@ -435,7 +518,8 @@ def job_enqueue_dedupe(spark, sf):
     return state.enqueue(j, j.select("type", "payload"))
 
 
-_REASON = f"CASE WHEN status = 'superseded' THEN 'superseded' WHEN coalesce(deleted_h < {NOW_H - 24 * 90}, false) THEN 'deleted' WHEN kind IN ('note', 'task_hint', 'transcript', 'caption') AND updated_h < {NOW_H - 24 * 200} THEN 'event' END"
+#: Both live tiers spare notes that were soft-deleted: those have their grace period.
+_REASON = f"CASE WHEN deleted_h IS NOT NULL AND deleted_h < {NOW_H - 24 * 90} THEN 'deleted' WHEN deleted_h IS NULL AND status = 'superseded' THEN 'superseded' WHEN deleted_h IS NULL AND kind IN ('note', 'task_hint', 'transcript', 'caption') AND updated_h < {NOW_H - 24 * 200} THEN 'event' END"
 
 
 @query(cte("notes") + f" SELECT id, kind FROM notes WHERE {_REASON} IS NULL")
@@ -454,6 +538,25 @@ def purge_cascade(spark, sf):
     return state.purge(load(spark, sf, "notes"), owned, state.purge_reason(NOW_H, 200, 90))[1]["embeddings"].select("id")
 
 
+@query(
+    cte("tasks", "jobs", "episodes", "relations", "notes")
+    + f""" SELECT 'tasks' AS name, count(*) AS n FROM tasks WHERE NOT (status <> 'open' AND updated_at < TIMESTAMP '2024-01-20' - INTERVAL 9300 DAY)
+UNION ALL SELECT 'jobs', count(*) FROM jobs WHERE NOT (state IN ('done', 'dead') AND updated_at < TIMESTAMP '2024-01-20' - INTERVAL 5 DAY)
+UNION ALL SELECT 'raws', count(*) FROM jobs WHERE NOT run_after < TIMESTAMP '2024-01-20'
+UNION ALL SELECT 'media', count(*) FROM tasks WHERE NOT updated_at < TIMESTAMP '2024-01-20' - INTERVAL 9300 DAY
+UNION ALL SELECT 'episodes', count(*) FROM episodes WHERE NOT TIMESTAMP '1998-01-01' + to_minutes(at_m) < TIMESTAMP '2024-01-20' - INTERVAL 9300 DAY
+UNION ALL SELECT 'relations', count(*) FROM relations WHERE NOT (source_note_id IS NULL AND created_at < TIMESTAMP '2024-01-20' - INTERVAL 9300 DAY) AND (source_note_id IS NULL OR source_note_id NOT IN (SELECT id FROM notes WHERE {_REASON} IS NOT NULL))"""
+)
+def purge_tables(spark, sf):
+    """What stays of all other tables; jobs stand in for raws and tasks for media."""
+    t, j = load(spark, sf, "tasks"), load(spark, sf, "jobs")
+    e = load(spark, sf, "episodes").withColumn("at", F.lit("1998-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("at_m").cast("int")))
+    tables = {"tasks": t, "jobs": j, "raws": j.withColumnRenamed("run_after", "retained_until"), "media": t, "episodes": e, "relations": load(spark, sf, "relations")}
+    gone = load(spark, sf, "notes").withColumn("reason", state.purge_reason(NOW_H, 200, 90)).filter("reason is not null")
+    kept = state.purge_tables(tables, F.lit("2024-01-20").cast("timestamp"), 9300, 5, gone)
+    return reduce(DataFrame.unionByName, (x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, x in kept.items()))
+
+
 @query(cte("notes", "tasks") + " SELECT (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM notes WHERE status = 'active' AND deleted_h IS NULL) AS live, (SELECT count(*) FROM tasks WHERE status = 'open') AS open_tasks, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions")
 def status_counts(spark, sf):
     n = load(spark, sf, "notes").agg(F.count(F.lit(1)).alias("notes"), F.count_if((F.col("status") == "active") & F.col("deleted_h").isNull()).alias("live"))
@@ -464,8 +567,13 @@ def status_counts(spark, sf):
 # ---------------------------------------------------------------- briefing, export
 
 
+#: One o'clock at night still is the work day before.
+BRIEF_AT, BRIEF_DAY = "1998-06-01 01:00:00", "1998-05-31"
+_FAMILY = "(coalesce(project, '') = 'p1' OR coalesce(project, '') ILIKE 'p1-%')"
+
+
 def _items(spark, sf):
-    return reports.briefing_items(load(spark, sf, "tasks"), load(spark, sf, "notes"), load(spark, sf, "episodes"), load(spark, sf, "relations"), NOW, NOW_H)
+    return reports.briefing_items(load(spark, sf, "tasks"), load(spark, sf, "notes"), load(spark, sf, "episodes"), load(spark, sf, "relations"), BRIEF_AT, NOW_H, "p1")
 
 
 _TOP = "SELECT space_id, {s} AS section, row_number() OVER (PARTITION BY space_id ORDER BY {o}) AS nth, {k} AS key, {l} AS line FROM {t} QUALIFY nth <= {n}"
@@ -484,12 +592,13 @@ def _note_section(s: int, kind: str, n: int, hours: int | None) -> str:
     + " UNION ALL ".join(
         "(" + x + ")"
         for x in [
-            _fill(_TOP, s=1, o="due_at, id", k="concat('t', id)", l="concat('- ', title)", t=f"(SELECT * FROM tasks WHERE status = 'open' AND due_at <= DATE '{NOW[:10]}' + 3)", n=10),
+            _fill(_TOP, s=1, o="due_at, id", k="concat('t', id)", l="concat('- ', title)", t=f"(SELECT * FROM tasks WHERE status = 'open' AND due_at <= DATE '{BRIEF_DAY}' + 3)", n=10),
             _fill(_TOP, s=2, o="updated_at, id", k="concat('t', id)", l="concat('- ', title)", t="(SELECT * FROM tasks WHERE status = 'open' AND waiting_on IS NOT NULL)", n=10),
-            _fill(_TOP, s=3, o="updated_at DESC, id", k="concat('t', id)", l="concat('- ', title)", t="(SELECT * FROM tasks WHERE status = 'open')", n=20),
+            _fill(_TOP, s=3, o="CASE WHEN coalesce(project, '') = 'p1' THEN 0 ELSE 1 END, updated_at DESC, id", k="concat('t', id)", l="concat('- ', title)", t=f"(SELECT * FROM tasks WHERE status = 'open' AND {_FAMILY})", n=20),
+            f"SELECT space_id, 3, 21, 'outside', concat('- … and ', count(*), ' tasks of other projects') FROM tasks WHERE status = 'open' AND NOT {_FAMILY} GROUP BY space_id",
             _note_section(4, "decision", 12, 24 * 30),
             _note_section(5, "preference", 12, None),
-            _fill(_TOP, s=6, o="created_at DESC, id DESC", k="concat_ws('|', 'r', from_ref, to_ref, rel_type)", l="concat('- ', from_ref, ' → ', to_ref, ' (', rel_type, ')')", t="relations", n=10),
+            _fill(_TOP, s=6, o="created_at DESC, id DESC", k="concat_ws('|', 'r', from_ref, to_ref, rel_type)", l="concat('- ', from_ref, ' → ', to_ref, ' (', rel_type, ')')", t=f"(SELECT * FROM relations WHERE created_at >= DATE '{BRIEF_DAY}' - 30 AND (source_note_id IS NULL OR source_note_id NOT IN (SELECT id FROM notes WHERE deleted_h IS NOT NULL)))", n=10),
             _fill(_TOP, s=7, o="at_m DESC, session_id, seq", k="concat_ws('|', 'e', session_id, seq)", l="concat('- ', summary)", t="episodes", n=5),
             _note_section(8, "note", 10, 24 * 7),
         ]
@@ -505,14 +614,29 @@ def briefing_render(spark, sf):
     return reports.render_briefing(_items(spark, sf), dict(enumerate(["Due", "Waiting", "Open", "Decisions", "Preferences", "Relations", "Sessions", "Notes"], 1)))
 
 
-@query(cte("tasks") + " SELECT space_id, id, concat('- [', CASE status WHEN 'done' THEN 'x' WHEN 'dropped' THEN '-' ELSE ' ' END, '] ', title) AS line FROM tasks")
+@query(cte("tasks") + " SELECT space_id, id, concat('- [', CASE status WHEN 'done' THEN 'x' WHEN 'dropped' THEN '-' ELSE ' ' END, '] ', title, CASE WHEN next_step IS NOT NULL THEN concat(' — next: ', next_step) ELSE '' END) AS line FROM tasks")
 def export_checklist(spark, sf):
     return sinks.vault_tasks(load(spark, sf, "tasks"))
 
 
-@query()
+_STAMP = "strftime(TIMESTAMP '2024-01-01' + to_hours({c}), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(
+    cte("notes")
+    + f""", sl AS (SELECT *, trim(left(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[ \t\r/\\:*?"<>|]', '-', 'g'), '-'), 60), '-') AS s FROM notes WHERE deleted_h IS NULL)
+SELECT concat(CASE space_id WHEN 1 THEN 'personal' WHEN 2 THEN 'work' ELSE 'learning' END, '/', kind, '/', id, '-', CASE WHEN s = '' THEN 'note' ELSE s END, '.md') AS path,
+  concat('---', chr(10), 'kind: ', kind, chr(10), 'tags: ["', lang, '","', tag2, '"]', chr(10), 'created: ', {_STAMP.format(c='created_h')}, chr(10), 'updated: ', {_STAMP.format(c='updated_h')}, chr(10), 'source: "', source, '"', chr(10), '---', chr(10), chr(10), text, chr(10)) AS body FROM sl"""
+)
 def export_markdown(spark, sf):
-    return sinks.vault_notes(load(spark, sf, "notes"), {1: "personal", 2: "work", 3: "learning"})
+    start = F.lit("2024-01-01").cast("timestamp")
+    n = load(spark, sf, "notes").withColumns({"tags": F.array("lang", "tag2"), **{f"{c}_at": start + F.make_dt_interval(hours=F.col(f"{c}_h").cast("int")) for c in ("created", "updated")}})
+    return sinks.vault_notes(n, {1: "personal", 2: "work", 3: "learning"})
+
+
+@query(cte("relations") + " SELECT id, concat('- ', from_ref, ' → ', to_ref, ' (', rel_type, ')', CASE WHEN source_note_id IS NOT NULL THEN concat(' — note #', source_note_id) ELSE '' END) AS line FROM relations")
+def export_relations(spark, sf):
+    return sinks.vault_relations(load(spark, sf, "relations"))
 
 
 # ---------------------------------------------------------------- usage, sessions
@@ -574,8 +698,9 @@ def transcript_condense(spark, sf):
 @query()
 def transcript_windows(spark, sf):
     said = transcripts.condense(_records(spark, sf), ["session_id", "seq"])
+    # a session is one extraction's input: its windows are packed from its whole text
     whole = said.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return chunking.split_rows(whole, chunking.windows, "session_id", "text")
+    return chunking.windows(whole, "session_id", "text", most=4000, keep=2)
 
 
 @query()

@@ -17,12 +17,13 @@ MOST_ENTRY = 64 << 20
 # Elements of HTML by their role in the text.
 DROPPED = {"script", "style", "head", "nav", "noscript", "svg", "template"}
 HEADINGS = {"h1", "h2", "h3"}
-BLOCKS = set("address article aside blockquote dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main ol p pre section table tr ul".split())
+BLOCKS = set("p div li tr section article blockquote pre h1 h2 h3 h4 h5 h6 dt dd table ul ol figure figcaption header footer main aside".split())
 
 
 def marker(label: str) -> str:
-    """The line that opens a section."""
-    return "⟦" + re.sub(r"\s+", " ", label).strip()[:80] + "⟧"
+    """The line that opens a section; a long label is cut."""
+    label = " ".join(label.split())
+    return "⟦" + (label if len(label) <= 80 else label[:80] + "…") + "⟧"
 
 
 class _Html(HTMLParser):

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loreforge.operators.reports import usage_rollup
 from loreforge.operators.state import next_seq
-from loreforge.sources.sinks import Versions
 
 
 def accept_deltas(raws: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -31,23 +30,63 @@ def accept_deltas(raws: DataFrame, deltas: DataFrame) -> DataFrame:
     return chain.select("session_id", F.explode(took["ok"]).alias("d")).select("session_id", "d.*")
 
 
-def capture(stream: DataFrame, table: Versions, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Commits a stream of deltas to a versioned raws table (session_id, seq,
-    expect_offset, new_offset, content)."""
+class Raws:
+    """The stored raws (session_id, seq, expect_offset, new_offset, content) as
+    one folder per micro-batch. A batch is written to the folder of its number,
+    which counts once its _SUCCESS mark stands; a batch that is run again after a
+    failure replaces its folder, so nothing is stored twice, and what was stored
+    before is never rewritten."""
 
-    def commit(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        schema = "session_id long, seq int, expect_offset long, new_offset long, content string"
-        raws = spark.read.schema(schema).parquet(f"{table.path}/v{table.versions()[-1]}") if table.versions() else spark.createDataFrame([], schema)
-        new = next_seq(raws, accept_deltas(raws, batch), "session_id", ["expect_offset"])
-        new = new.select("session_id", F.col("seq").cast("int").alias("seq"), "expect_offset", "new_offset", "content")
-        table.write(raws.unionByName(new))
+    SCHEMA = "session_id long, seq int, expect_offset long, new_offset long, content string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All stored raws, or those of the batches before one."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-*/_SUCCESS")
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root)
+        names = [f.getPath().getParent().getName() for f in found or []]
+        paths = [f"{self.path}/{n}" for n in names if before is None or int(n[6:]) < before]
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+
+    def add(self, deltas: DataFrame, number: int) -> DataFrame:
+        """Stores what a batch of deltas adds, and returns it."""
+        raws = self.read(number)
+        new = next_seq(raws, accept_deltas(raws, deltas), "session_id", ["expect_offset"])
+        path = f"{self.path}/batch-{number}"
+        new.select("session_id", F.col("seq").cast("int").alias("seq"), "expect_offset", "new_offset", "content").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.SCHEMA).parquet(path)
+
+
+def extract_jobs(new: DataFrame) -> DataFrame:
+    """type and payload of the extraction jobs that new raws ask for: one per session."""
+    return new.select(F.lit("extract").alias("type"), F.to_json(F.struct("session_id")).alias("payload")).distinct()
+
+
+def capture(stream: DataFrame, raws: Raws, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Commits a stream of deltas to the raws; `then` gets each batch's new rows
+    (extract_jobs makes jobs of them)."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        new = raws.add(batch, number)
         if then:
             then(new)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replay_spool(raws: DataFrame, spool: DataFrame) -> DataFrame:
+    """What a spool of deltas that could not be sent (spooled_at, line: their
+    JSON) adds to the raws: lines that are no deltas are dropped, equal ones
+    count once, and only those that go on from a session's stored end, or from
+    one another, are taken, as if they had come in time."""
+    delta = F.from_json("line", "session_id long, expect_offset long, new_offset long, content string")
+    rows = spool.select(delta.alias("d")).select("d.*").filter("session_id is not null and expect_offset is not null and new_offset is not null and content is not null")
+    new = next_seq(raws, accept_deltas(raws, rows), "session_id", ["expect_offset"])
+    return new.select("session_id", F.col("seq").cast("int").alias("seq"), "expect_offset", "new_offset", "content")
+
+
 def hourly_usage(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
     """usage_rollup by hour on a stream of calls (ts), late ones within `late`."""
     rows = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if calls.isStreaming else calls

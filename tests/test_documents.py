@@ -1,8 +1,8 @@
 import io
 import zipfile
 
-from loreforge.operators.chunking import chunk_text, greedy, pack, windows
-from loreforge.sources.documents import html_text, markdown_text, read_document, read_documents
+from loreforge.operators.chunking import all_windows, chunk_text, greedy, pack, windows
+from loreforge.sources.documents import marker, html_text, markdown_text, read_document, read_documents
 
 
 def zipped(files):
@@ -27,7 +27,7 @@ def test_chunks():
 def test_packing():
     assert greedy(["aa", "bb", "cccccc"], 5, " ") == ["aa bb", "ccccc", "c"]
     assert pack([5, 4, 30, 1], 11) == [0, 0, 1, 2]
-    assert windows("a\nb\nc\n", 4, 8) == ["a\nb\n", "c\n"] and windows("a\nb\nc\n", 2, 2) == ["b\n", "c\n"] and windows(None) == []
+    assert all_windows("a\nb\nc\n", 4) == ["a\nb\n", "c\n"] and all_windows(None) == [] and all_windows("a\u2028b\x0bc\n\nd", 4) == ["a\u2028b\x0bc\n", "\nd"]
 
 
 def test_html():
@@ -64,3 +64,13 @@ def test_formats(spark, tmp_path):
     assert got["d.txt"] == ("hi\nyou", None) and got["g.md"][0].startswith("⟦T⟧")
     assert all(got[k][0] is None and got[k][1] for k in ("e.bin", "f.txt", "h.docx", "i.txt"))
     assert read_document("x.html", b"<p>q") == ("q", None)
+
+
+def test_windows_say_what_went(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\n"), (2, "x"), (3, None)], "id long, text string")
+    got = sorted(tuple(r) for r in windows(df, "id", "text", 2, 2).select("id", "ordinal", "text", "dropped").collect())
+    assert got == [(1, 0, "b\n", 1), (1, 1, "c\n", 1), (2, 0, "x", 0)]
+
+
+def test_marker_is_cut():
+    assert marker(" a\n b ") == "⟦a b⟧" and marker("x" * 80) == "⟦" + "x" * 80 + "⟧" and marker("x" * 81) == "⟦" + "x" * 80 + "…⟧"

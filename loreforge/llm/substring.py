@@ -13,8 +13,11 @@ A text is parsed left to right against that index:
   factor, and all its windows repeat;
 * at factor boundaries, where a block shares its anchor with different blocks,
   each window is looked up by itself among the windows of those blocks;
-* consecutive repeated windows join to one factor as long as they copy from one
-  reference document; the union of all factors is the duplicate text.
+* the parse is greedy: from the first repeated window on, the factor copies from
+  that reference text which goes along with it longest, and the next factor
+  begins where it ends. An index entry names two texts at most that hold it, so
+  the factor is the longest with respect to those; the union of all factors is
+  the duplicate text, whichever texts they copy from.
 
 Per occurrence of an anchor one small row is shuffled, not one per word; equal
 blocks are counted before the shuffle; the lookups are joins whose large side
@@ -35,8 +38,6 @@ from .storage import written
 
 WINDOW = 35
 GRAM = 8
-#: Anchors that are sent to all executors at most (8 bytes each, some 100 MB as a hash table); more are joined by a shuffle.
-BROADCAST_ANCHORS = 1_000_000
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _U = np.uint64
 
@@ -83,9 +84,9 @@ class Blocks:
 
 
 def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """Two values that tell rows apart even where ids are null or repeat."""
-    c = F.col(id_col)
-    return F.coalesce(c.cast("long"), F.lit(0)).alias("k1"), F.hash(c.isNull(), F.col(text_col)).alias("k2")
+    """Two values that tell texts apart, whatever their ids: rows that agree in id and text share them."""
+    i = F.col(id_col)
+    return F.xxhash64(i.isNull(), i.cast("string"), F.col(text_col)).alias("k1"), F.hash(i.isNull(), F.col(text_col)).alias("k2")
 
 
 def _occurrences(window: int):
@@ -109,12 +110,13 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("asked").is_valid())
-            asked = batch.column("asked")
+            asked, k1 = batch.column("asked"), batch.column("k1").to_numpy()
             for lo, hi, buf, offs in W.chunks(W.texts_of(batch, "text")):
                 blocks = Blocks(buf, offs, window, windows=True)
                 want = asked.slice(lo, hi - lo)
                 flat = want.flatten()
                 row = np.repeat(np.arange(hi - lo), np.diff(want.offsets.to_numpy()))
+                own = k1[lo:hi]
                 wa, wb, wn = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n"))
                 tag = lambda r, a, b: W.mix(r.astype(np.uint64) * _U(_M[0]) + W.mix(a) * _U(_M[1]) + b)
                 have = tag(blocks.row, blocks.anchor, blocks.content)
@@ -129,22 +131,22 @@ def _windows(window: int):
                 x = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks.count[pick])[:-1]], blocks.count[pick])
                 p = pick[rep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(blocks.anchor[p])), pa.array(W.signed(blocks.content[p] ^ other[rep])), pa.array(x.astype(np.int32)), pa.array(W.signed(blocks.win[blocks.first[p] + x]))],
-                    ["a", "b", "x", "w"],
+                    [pa.array(W.signed(blocks.anchor[p])), pa.array(W.signed(blocks.content[p] ^ other[rep])), pa.array(x.astype(np.int32)), pa.array(W.signed(blocks.win[blocks.first[p] + x])), pa.array(own[blocks.row[p]])],
+                    ["a", "b", "x", "w", "k"],
                 )
 
     return run
 
 
-_OUT = "n_words long, n_removed long, factors array<struct<start:long,length:long,ref_doc:long>>, kept_text string"
+_OUT = "n_words long, n_removed long, factors array<struct<start:long,length:long,ref_row:long>>, kept_text string"
 
 
 def _apply(window: int):
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_row", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, ids, k2 = batch.column("found"), batch.column("id"), batch.column("k2").to_numpy()
+            found, ids, k1, k2 = batch.column("found"), batch.column("id"), batch.column("k1"), batch.column("k2").to_numpy()
             for lo, hi, buf, offs in W.chunks(W.texts_of(batch, "text")):
                 hits = found.slice(lo, hi - lo)
                 size = np.where(hits.is_valid().to_numpy(zero_copy_only=False), np.diff(hits.offsets.to_numpy()), 0)
@@ -154,36 +156,54 @@ def _apply(window: int):
                 for r in range(hi - lo):
                     parts = buf[offs[r] : offs[r + 1]].tobytes().split()
                     if size[r]:
-                        parts, factors[r], removed[r] = _parse(parts, hits[r].values, int(k2[lo + r]), blocks, r, window)
+                        parts, factors[r], removed[r] = _parse(parts, hits[r].values, k1[lo + r].as_py(), int(k2[lo + r]), blocks, r, window)
                     kept.append(b" ".join(parts))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n_words), pa.array(removed), pa.array(factors, kind), pa.array(kept, pa.binary()).cast(pa.string())],
-                    ["id", "n_words", "n_removed", "factors", "kept_text"],
+                    [ids.slice(lo, hi - lo), k1.slice(lo, hi - lo), pa.array(n_words), pa.array(removed), pa.array(factors, kind), pa.array(kept, pa.binary()).cast(pa.string())],
+                    ["id", "row", "n_words", "n_removed", "factors", "kept_text"],
                 )
 
     return run
 
 
-def _parse(parts: list[bytes], hits: pa.Array, key: int, blocks: Blocks, r: int, window: int) -> tuple[list[bytes], list[dict], int]:
+def _greedy(start: np.ndarray, end: np.ndarray, refs: list[tuple[int, int]], own: int) -> Iterator[tuple[int, int, int]]:
+    """Factors (first window, last window, text that it copies from) of runs of
+    repeated windows, each run with two texts that hold it: always the longest
+    that goes on from where the one before ended."""
+    i = 0
+    while i < len(start):
+        best, ref = i, None
+        for r in sorted(set(refs[i]), key=lambda r: r == own):
+            j = i
+            while j + 1 < len(start) and start[j + 1] == end[j] + 1 and r in refs[j + 1]:
+                j += 1
+            if ref is None or j > best:
+                best, ref = j, r
+        yield int(start[i]), int(end[best]), ref
+        i = best + 1
+
+
+def _parse(parts: list[bytes], hits: pa.Array, own: int, key: int, blocks: Blocks, r: int, window: int) -> tuple[list[bytes], list[dict], int]:
     """Factors of one text, from the verdicts on its blocks, and what is left."""
     base, lead = blocks.word_offs[r], int(np.searchsorted(blocks.row, r))
-    k2, i, mask, ref = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("k2", "i", "mask", "ref"))
-    own = np.flatnonzero(k2 == key)  # texts can share an id; equal rows have their hits twice
-    order = own[np.unique(i[own], return_index=True)[1]]
+    k2, i, mask, lo, hi = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("k2", "i", "mask", "lo", "hi"))
+    mine = np.flatnonzero(k2 == key)
+    order = mine[np.unique(i[mine], return_index=True)[1]]
     if not len(order):
         return parts, [], 0
-    i, mask, ref = i[order] + lead, mask[order], ref[order]
+    i, mask, lo, hi = i[order] + lead, mask[order], lo[order], hi[order]
     rep = np.repeat(np.arange(len(i)), blocks.count[i])
     x = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks.count[i])[:-1]], blocks.count[i])
     hit = (mask[rep] >> x) & 1 == 1
-    at, ref = blocks.first[i[rep]][hit] + x[hit] - base, ref[rep][hit]
+    block, at = rep[hit], blocks.first[i[rep]][hit] + x[hit] - base
     edge = np.zeros(len(parts) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    cut = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + 1) | (ref[1:] != ref[:-1])])
+    cut = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + 1) | (block[1:] != block[:-1])])
     stop = np.r_[cut[1:], len(at)] - 1
-    factors = [{"start": int(at[s]), "length": int(at[e] - at[s]) + window, "ref_doc": int(ref[s])} for s, e in zip(cut, stop, strict=True)]
+    refs = list(zip(lo[block[cut]].tolist(), hi[block[cut]].tolist(), strict=True))
+    factors = [{"start": s, "length": e - s + window, "ref_row": ref} for s, e, ref in _greedy(at[cut], at[stop], refs, own)]
     return [w for w, g in zip(parts, gone.tolist(), strict=True) if not g], factors, int(gone.sum())
 
 
@@ -191,14 +211,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Removes every word covered by a window of `window` words that starts
     anywhere else in the corpus too, the same text included.
 
-    Returns the id, n_words, n_removed, factors (start and length in words, and
-    the least id of the texts that the factor occurs in) and kept_text, the
-    words left joined by single spaces.
+    Returns the id, row (a number of the text), n_words, n_removed, factors
+    (start and length in words, and the row of a text that holds it, another one
+    if there is another) and kept_text, the words left joined by single spaces.
 
     Windows are judged on the input. A null or empty text has no words and
     keeps an empty kept_text. Texts below `window` words are never cut. Repeated
     rows, also those with one id, count as texts of their own, so all their
-    windows repeat. A null id counts as 0 in ref_doc. Other columns are ignored
+    windows repeat. Ids are of any type and may be null. Other columns are ignored
     whatever their names. An empty table gives an empty result. `window` is 2
     to 64, so that a block's verdict fits one bit mask.
     """
@@ -209,19 +229,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), k1, k2)
     occ = texts.select("text", "k1", "k2").mapInArrow(_occurrences(window), "a long, b long, k1 long, k2i long")
 
-    index = written(occ.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("ref")), "op4-index")
-    many = written(index.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d >= 2").select("a"), "op4-anchors")
-    edge = index.join(F.broadcast(many) if many.count() <= BROADCAST_ANCHORS else many, "a")
-    asked = edge.groupBy(F.col("ref").alias("k1")).agg(F.collect_list(F.struct("a", "b", "n")).alias("asked"))
+    index = written(occ.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi")), "op4-index")
+    many = index.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d >= 2").select("a")
+    edge = written(index.join(many.hint("merge"), "a"), "op4-edges")
+    asked = edge.groupBy(F.col("lo").alias("k1")).agg(F.collect_list(F.struct("a", "b", "n")).alias("asked"))
     # both joins take the texts dealt by k1, with the same columns: one exchange serves both
-    win = texts.join(asked, "k1", "left").select("id", "text", "k2", "asked").mapInArrow(_windows(window), "a long, b long, x int, w long")
-    again = win.groupBy("a", "w").agg(F.min("b").alias("b0"), F.max("b").alias("b1")).filter("b0 <> b1").select("a", "w")
-    part = win.join(again, ["a", "w"]).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1L, x))").alias("mask"))
-    whole = index.filter("n >= 2").select("a", "b", F.lit(-1).cast("long").alias("mask"), "ref")
-    verdict = whole.unionByName(edge.filter("n = 1").join(part, ["a", "b"]).select("a", "b", "mask", "ref"))
-    hit = F.struct(F.expr("cast(shiftright(k2i, 32) as int)").alias("k2"), F.expr("cast(k2i & 4294967295L as int)").alias("i"), "mask", "ref")
-    found = occ.join(verdict, ["a", "b"]).select("k1", hit.alias("hit")).groupBy("k1").agg(F.collect_list("hit").alias("found"))
-    out = texts.join(found, "k1", "left").select("id", "text", "k2", "found").mapInArrow(_apply(window), f"id {kind}, {_OUT}")
+    win = texts.join(asked, "k1", "left").select("id", "text", "k1", "k2", "asked").mapInArrow(_windows(window), "a long, b long, x int, w long, k long")
+    # read from a table, so that Spark can split the windows of a hot passage in the join
+    again = win.groupBy("a", "w").agg(F.min("b").alias("b0"), F.max("b").alias("b1"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("b0 <> b1").select("a", "w", "k0", "k1")
+    again = written(again, "op4-windows")
+    part = win.join(again, ["a", "w"]).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1L, x))").alias("mask"), F.min("k0").alias("lo"), F.max("k1").alias("hi"))
+    whole = index.filter("n >= 2").select("a", "b", F.lit(-1).cast("long").alias("mask"), "lo", "hi")
+    verdict = whole.unionByName(edge.filter("n = 1").select("a", "b").join(part, ["a", "b"]).select("a", "b", "mask", "lo", "hi"))
+    hit = F.struct(F.expr("cast(shiftright(k2i, 32) as int)").alias("k2"), F.expr("cast(k2i & 4294967295L as int)").alias("i"), "mask", "lo", "hi")
+    # a set: rows that repeat id and text have the same hits, however many they are
+    found = occ.join(verdict, ["a", "b"]).select("k1", hit.alias("hit")).groupBy("k1").agg(F.collect_set("hit").alias("found"))
+    out = texts.join(found, "k1", "left").select("id", "text", "k1", "k2", "found").mapInArrow(_apply(window), f"id {kind}, row long, {_OUT}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -4,16 +4,22 @@ import brute
 import numpy as np
 import pytest
 from loreforge.llm import words as W
-from loreforge.llm.substring import op4_substring_dedup, substring_dedup
+from loreforge.llm.substring import _greedy, op4_substring_dedup, substring_dedup
 
 
-def check(spark, rows, window=35):
-    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
+def check(spark, rows, window=35, kind="long"):
+    got = substring_dedup(spark.createDataFrame(rows, f"doc_id {kind}, text string"), window=window).collect()
     want = Counter2((i, n, " ".join(k)) for (i, _), (n, k) in zip(rows, brute.substring(rows, window), strict=True))
     assert Counter2((r.doc_id, r.n_words, r.kept_text) for r in got) == want
     for r in got:
         assert r.n_removed <= sum(f.length for f in r.factors)
         assert (r.n_removed > 0) == bool(r.factors)
+    words = {r.row: brute.words(t) for r in got for i, t in rows if i == r.doc_id and len(brute.words(t)) == r.n_words}
+    for r in got:
+        for f in r.factors:  # every factor stands, whole or window by window, in the text that it names
+            mine, ref = words[r.row][f.start : f.start + f.length], words[f.ref_row]
+            some = {tuple(ref[i : i + window]) for i in range(len(ref) - window + 1)}
+            assert sum(tuple(mine[i : i + window]) in some for i in range(len(mine) - window + 1)) >= 1
 
 
 def Counter2(x):
@@ -37,6 +43,22 @@ def test_planted(spark):
     rows += [(60, rows[1][1]), (1, rows[1][1]), (None, rows[2][1]), (None, None), (61, ""), (62, " \t\n"), (63, "aa " * 90), (64, "aa bb " * 40), (65, "x" * 9000 + " y"), (66, None)]
     check(spark, rows)
     check(spark, rows, window=8)
+    check(spark, [(None if i is None else f"d{i}", t) for i, t in rows], kind="string")
+
+
+def test_greedy_takes_the_longest():
+    start, end = np.array([0, 5, 9, 20]), np.array([4, 8, 12, 25])
+    refs = [(1, 2), (2, 3), (2, 3), (7, 9)]
+    assert list(_greedy(start, end, refs, own=9)) == [(0, 12, 2), (20, 25, 7)]
+    assert list(_greedy(start, end, [(1, 1), (2, 3), (3, 3), (9, 9)], own=9)) == [(0, 4, 1), (5, 12, 3), (20, 25, 9)]
+
+
+def test_hot_rows(spark):
+    # one id for all, no id for many, the same row again and again
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, same)] * 50 + [(None, same)] * 50 + [(1, f"own {i} " + same) for i in range(30)] + [(None, f"n{i} " * 40) for i in range(20)]
+    check(spark, rows)
+    check(spark, [(3, "long " * 200_000), (4, " ".join(f"u{i}" for i in range(100_000)))])
 
 
 def test_empty_and_clashing_columns(spark):

@@ -1,8 +1,9 @@
 import random
+import re
 from collections import Counter
 
 import pytest
-from loreforge.llm.rollup import BYTES_50K, Tokenizer, TokenRollup, op3_token_rollup
+from loreforge.llm.rollup import BYTES_50K, MULTI_50K, Tokenizer, TokenRollup, op3_token_rollup
 from loreforge.llm.storage import shared_path
 
 PIECES = Tokenizer("piece_bpe_32k", "sentencepiece", "piece_bpe_32k.model")
@@ -12,7 +13,7 @@ SCHEMA = "seq int, op string, doc_id long, source string, lang string, text stri
 
 def brute(batches, tokenizers):
     count = {t.version: t.counter() for t in tokenizers}
-    docs, seen = {}, set()
+    docs, loose, seen = {}, [], set()
     for name, rows in batches:
         if name in seen:
             continue
@@ -20,9 +21,12 @@ def brute(batches, tokenizers):
         for _, op, i, source, lang, text, _ in sorted(rows, key=lambda r: r[0]):
             docs.pop(i, None)
             if op != "delete":
-                docs[i] = (source, lang, text)
+                if i is None:
+                    loose.append((source, lang, text))
+                else:
+                    docs[i] = (source, lang, text)
     n, tokens = Counter(), Counter()
-    for source, lang, text in docs.values():
+    for source, lang, text in [*docs.values(), *loose]:
         for v, c in count.items():
             n[source, lang, v] += 1
             tokens[source, lang, v] += c(text) if text else 0
@@ -50,7 +54,7 @@ def test_half_written_batch_is_redone(spark):
     rollup = TokenRollup(spark, path)
     rows = spark.createDataFrame([(0, "insert", 1, "a", "en", "one two", "")], SCHEMA)
     rollup.commit("b", rows)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-b/_SUCCESS")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-b/totals-1/_SUCCESS")
     fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, False)
     assert rollup.totals().count() == 0 and rollup.committed() == []
     assert rollup.commit("b", rows) and rollup.totals().first().n_docs == 1
@@ -64,11 +68,20 @@ def test_wrong_input(spark):
         rollup.commit("x", spark.createDataFrame([(0, "upsert", 1, "a", "en", "t", "")], SCHEMA))
 
 
+def test_ids_of_any_type_and_long_texts(spark):
+    rollup = TokenRollup(spark, shared_path(spark, "test"))
+    rows = [(0, "insert", "x", "a", "en", "one " * 300_000, ""), (1, "insert", "y", "a", "en", None, ""), (2, "insert", None, "a", "en", "one", ""), (3, "insert", None, "a", "en", "one", "")]
+    kind = SCHEMA.replace("doc_id long", "doc_id string")
+    rollup.commit("a", spark.createDataFrame(rows, kind))
+    rollup.commit("b", spark.createDataFrame([(0, "delete", "x", None, None, None, ""), (1, "delete", None, None, None, None, "")], kind))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "byte_bpe_50k", 3, 2)}
+
+
 def test_query(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "lang", "text").collect()
     seen, batch = set(), []
     for r in sorted(rows):
-        if r.text not in seen:
-            batch.append((0, "insert", r.doc_id, r.source, r.lang, r.text, ""))
+        if r.text not in seen or r.text is None:
+            batch.append((0, "insert", r.doc_id, r.source, r.lang, r.text and re.sub(r"[ \t\n\x0b\f\r]+", " ", r.text).strip(" "), ""))
         seen.add(r.text)
-    assert {tuple(r) for r in op3_token_rollup(spark, small).collect()} == brute([("load", batch)], (BYTES_50K,))
+    assert {tuple(r) for r in op3_token_rollup(spark, small).collect()} == brute([("load", batch)], (BYTES_50K, MULTI_50K))

@@ -309,3 +309,32 @@ def extraction_recall(found: DataFrame, expected: DataFrame) -> DataFrame:
     f = found.select("session_id", norm_title(F.col("text")).alias("f"))
     hits = e.join(f, (e["session_id"] == f["session_id"]) & F.contains("f", F.col("e")), "left_semi")
     return e.agg(F.count(F.lit(1)).alias("n")).crossJoin(hits.agg(F.count(F.lit(1)).alias("h"))).select("n", F.try_divide(F.col("h"), F.col("n")).cast("double").alias("recall"))
+
+
+def max_of_prefix(meta: DataFrame, prefix: str) -> DataFrame:
+    """The greatest value (as text) of the keys that begin with a prefix, and how
+    many keys there are; a null value of no key."""
+    return meta.filter(F.startswith("key", F.lit(prefix))).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def increment(meta: DataFrame, adds: DataFrame) -> DataFrame:
+    """key and value after counters are raised: adds (key, n) are summed per key;
+    a key that is new, or whose value is no number, counts from 0."""
+    total = adds.groupBy("key").agg(F.sum("n").alias("n"))
+    both = meta.alias("m").join(total.alias("a"), "key", "full_outer")
+    now = (F.coalesce(F.expr("try_cast(m.value AS BIGINT)"), F.lit(0)) + F.col("a.n")).cast("string")
+    return both.select("key", F.when(F.col("a.n").isNull(), F.col("m.value")).otherwise(now).alias("value"))
+
+
+def mark_extracted(raws: DataFrame, done: DataFrame, at: Column) -> DataFrame:
+    """Raws (session_id, seq, extracted_at) after those of done (session_id, seq)
+    are extracted; one that was keeps its time."""
+    hit = done.select("session_id", "seq").distinct().withColumn("_hit", F.lit(True))
+    out = raws.join(hit, ["session_id", "seq"], "left")
+    return out.withColumn("extracted_at", F.when(F.col("extracted_at").isNull() & F.col("_hit"), at).otherwise(F.col("extracted_at"))).drop("_hit")
+
+
+def pending_raws(raws: DataFrame) -> DataFrame:
+    """Per session what waits for extraction: n, first_seq, last_seq and bytes."""
+    rows = raws.filter("extracted_at is null")
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("bytes").alias("bytes"))

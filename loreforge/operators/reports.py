@@ -202,6 +202,21 @@ def session_groups(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return events.withColumn("fresh", fresh).withColumn("session_no", no).groupBy("user_id", "session_no").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"), F.count(F.lit(1)).alias("n_events"))
 
 
+def doctor_checks(notes: DataFrame, vectors: DataFrame, relations: DataFrame, jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """name and n of what is not as it should be: live notes without a vector,
+    relations whose note is gone, dead jobs, jobs that hang for over 30 minutes,
+    and open tasks that are overdue."""
+    live = notes.filter("status = 'active' and deleted_h is null")
+    found = {
+        "notes_without_vector": live.join(vectors.select("id"), "id", "left_anti"),
+        "orphan_relations": relations.filter("source_note_id is not null").join(notes.select(F.col("id").alias("source_note_id")), "source_note_id", "left_anti"),
+        "dead_jobs": jobs.filter("state = 'dead'"),
+        "hanging_jobs": jobs.filter((F.col("state") == "running") & (F.col("updated_at") < now - F.expr("INTERVAL 30 MINUTES"))),
+        "overdue_tasks": tasks.filter((F.col("status") == "open") & (F.col("due_at") < F.to_date(now))),
+    }
+    return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in found.items()))
+
+
 def near_opening(notes: DataFrame, opening: Column) -> DataFrame:
     """Per note of a knowledge kind, the least id of its space and kind that has
     the same opening; only where there are two."""

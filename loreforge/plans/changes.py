@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions import dates, text, vectors
-from loreforge.operators import memory, search, state, writing
+from loreforge.operators import memory, reports, search, state, writing
 from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, query
 from loreforge.sources.adapters import cte, load
 from loreforge.streaming import capture
@@ -193,3 +194,97 @@ def consolidate_due(spark, sf):
 @query(cte("notes") + f" SELECT id, {_fill(_NORM_SQL, c='text')} AS norm FROM notes WHERE kind IN ('decision', 'fact')")
 def norm_texts(spark, sf):
     return load(spark, sf, "notes").filter(F.col("kind").isin("decision", "fact")).select("id", text.norm_title(F.col("text")).alias("norm"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role FROM conversations),
+o AS (SELECT conv_id AS id, min(role) AS client, conv_id % 3 AS space_id, min(turn) AS started_at, max(turn) AS last_seen_at, CASE WHEN conv_id % 4 = 0 THEN '/old' END AS cwd FROM t WHERE turn < 2 AND conv_id % 2 = 0 GROUP BY conv_id),
+n AS (SELECT conv_id AS id, arg_min(role, turn * 100 + ascii(role)) AS client, conv_id % 5 AS space_id, min(turn) AS started_at, max(turn) AS last_seen_at, '/new' AS cwd FROM t WHERE turn >= 1 GROUP BY conv_id)
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.client, n.client) AS client, coalesce(o.space_id, n.space_id) AS space_id, coalesce(o.started_at, n.started_at) AS started_at, greatest(o.last_seen_at, n.last_seen_at) AS last_seen_at, coalesce(o.cwd, n.cwd) AS cwd FROM o FULL JOIN n ON o.id = n.id"""
+)
+def session_upsert(spark, sf):
+    """The first turns of even conversations are the stored sessions, all later turns are sights of them."""
+    c = load(spark, sf, "conversations")
+    base = lambda df, cwd, m: df.select(F.col("conv_id").alias("id"), F.col("role").alias("client"), (F.col("conv_id") % m).alias("space_id"), F.col("turn").alias("started_at"), F.col("turn").alias("last_seen_at"), cwd.alias("cwd"), F.lit(None).cast("string").alias("project"))
+    old = base(c.filter("turn < 2 and conv_id % 2 = 0"), F.when(F.col("conv_id") % 4 == 0, "/old"), 3)
+    old = old.groupBy("id", "space_id", "cwd", "project").agg(F.min("client").alias("client"), F.min("started_at").alias("started_at"), F.max("last_seen_at").alias("last_seen_at"))
+    new = base(c.filter("turn >= 1"), F.lit("/new"), 5)
+    return memory.upsert_sessions(old.select(*new.columns), new).drop("project")
+
+
+@query("SELECT o_orderkey AS id, md5(concat(o_orderpriority, o_orderkey)) AS content FROM orders")
+def raws_gunzip(spark, sf):
+    @F.pandas_udf("binary")
+    def packed(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: gzip.compress(t.encode()))
+
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), packed(F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))).alias("content"))
+    return memory.gunzip(o).select("id", F.md5("content").alias("content"))
+
+
+@query(
+    """WITH b AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey < 18 THEN 'fact' ELSE 'decision' END AS kind, n_regionkey FROM nation),
+m AS (SELECT n_regionkey AS merge_id, 'fact' AS kind, CASE WHEN n_regionkey = 0 THEN ' ' ELSE 't' END AS text, list_sort(list(id)) AS ids FROM b GROUP BY n_regionkey)
+SELECT merge_id, CASE WHEN text = ' ' THEN 'text' WHEN len(ids) < 2 THEN 'few' WHEN (SELECT count(DISTINCT kind) FROM b WHERE list_contains(m.ids, b.id)) > 1 THEN 'kind' END AS error FROM m"""
+)
+def merges_checked(spark, sf):
+    n = load(spark, sf, "nation")
+    batch = n.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") < 18, "fact").otherwise("decision").alias("kind"), "n_regionkey")
+    merges = batch.groupBy(F.col("n_regionkey").alias("merge_id")).agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumns({"kind": F.lit("fact"), "text": F.when(F.col("merge_id") == 0, " ").otherwise("t")})
+    return memory.valid_merges(merges, batch).select("merge_id", "error")
+
+
+@query("SELECT o_custkey AS batch, count(*) AS size, count(*) FILTER (WHERE o_orderstatus = 'F') AS removed, count(*) >= 8 AND 2 * count(*) FILTER (WHERE o_orderstatus = 'F') > count(*) AS skip FROM orders GROUP BY o_custkey")
+def merges_guarded(spark, sf):
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("batch")).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("o_orderstatus") == "F").alias("removed"))
+    return reports.merge_guard(o, F.col("removed"))
+
+
+@query(
+    """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT user_id, count(*) AS n_events, min(ts) AS started_at, max(ts) AS last_seen_at FROM s GROUP BY user_id, no"""
+)
+def session_windows(spark, sf):
+    """The sessions of the stream, over the whole table at once."""
+    e = load(spark, sf, "events")
+    kind = e.schema["ts"].dataType
+    return capture.sessions(e).withColumns({c: F.col(c).cast(kind) for c in ("started_at", "last_seen_at")})
+
+
+@query(
+    cte("notes", "relations", "jobs", "tasks")
+    + f""" SELECT 'notes_without_vector' AS name, count(*) AS n FROM notes WHERE status = 'active' AND deleted_h IS NULL AND id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'orphan_relations', count(*) FROM relations WHERE source_note_id IS NOT NULL AND source_note_id NOT IN (SELECT id FROM notes)
+UNION ALL SELECT 'dead_jobs', count(*) FROM jobs WHERE state = 'dead' UNION ALL SELECT 'hanging_jobs', count(*) FROM jobs WHERE state = 'running' AND updated_at < {_AT} - INTERVAL 30 MINUTE
+UNION ALL SELECT 'overdue_tasks', count(*) FROM tasks WHERE status = 'open' AND due_at < DATE '2024-01-15'"""
+)
+def doctor_checks(spark, sf):
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    return reports.doctor_checks(load(spark, sf, "notes"), v, load(spark, sf, "relations"), load(spark, sf, "jobs"), load(spark, sf, "tasks"), F.lit("2024-01-15").cast("timestamp"))
+
+
+@query("SELECT substr(c_name, 1, 14) AS prefix, max(c_mktsegment) AS value, count(*) AS n FROM customer WHERE c_name LIKE 'Customer#00000%' GROUP BY 1 HAVING prefix = 'Customer#00000'")
+def meta_max_of_prefix(spark, sf):
+    meta = load(spark, sf, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    return memory.max_of_prefix(meta, "Customer#00000").filter("n > 0").select(F.lit("Customer#00000").alias("prefix"), "value", "n")
+
+
+@query(
+    """WITH m AS (SELECT n_name AS key, CASE n_nationkey % 3 WHEN 0 THEN n_nationkey::VARCHAR ELSE 'none' END AS value FROM nation WHERE n_nationkey % 4 <> 0),
+a AS (SELECT n_name AS key, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)
+SELECT coalesce(m.key, a.key) AS key, CASE WHEN a.n IS NULL THEN m.value ELSE (coalesce(try_cast(m.value AS BIGINT), 0) + a.n)::VARCHAR END AS value FROM m FULL JOIN a ON m.key = a.key"""
+)
+def meta_increment(spark, sf):
+    """A counter per nation is raised by one per supplier."""
+    n, s = load(spark, sf, "nation"), load(spark, sf, "supplier")
+    meta = n.filter("n_nationkey % 4 <> 0").select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("string")).otherwise("none").alias("value"))
+    adds = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key"), F.lit(1).cast("long").alias("n"))
+    return memory.increment(meta, adds)
+
+
+@query("SELECT conv_id AS session_id, count(*) AS n, min(turn + 1) AS first_seq, max(turn + 1) AS last_seq, sum(strlen(text))::BIGINT AS bytes FROM conversations WHERE turn >= 2 GROUP BY conv_id")
+def raws_pending(spark, sf):
+    """The first two turns of each conversation are extracted; what waits."""
+    c = load(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), F.octet_length("text").cast("long").alias("bytes"), F.lit(None).cast("timestamp").alias("extracted_at"))
+    return memory.pending_raws(memory.mark_extracted(c, c.filter("seq <= 2"), F.lit("2024-01-15").cast("timestamp")))

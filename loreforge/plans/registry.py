@@ -164,9 +164,11 @@ def _query_vectors(spark, sf):
     """Vector hits of each passage: those of the vector that has its number."""
     v = _vectors(spark, sf)
     q = v.join(_queries(spark, sf).select(F.col("query_id").alias("id")), "id").withColumnRenamed("id", "query_id")
-    return search.vector_topk(v, q, 50)
+    # vectors of chunks that are not in the index are no hits
+    return search.vector_topk(v.join(_docs(spark, sf).select("id"), "id", "left_semi"), q, 50)
 
 
+_INDEXED = "AND e.id IN (SELECT doc_id FROM documents)"
 _HYBRID = (
     _BM25
     + """,
@@ -179,7 +181,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 )
 
 
-@query("WITH " + _fill(_HYBRID, where="", n=50, vwhere="") + " SELECT query_id, id, round(score, 9) AS score, rrf_pos AS pos FROM fr")
+@query("WITH " + _fill(_HYBRID, where="", n=50, vwhere=_INDEXED) + " SELECT query_id, id, round(score, 9) AS score, rrf_pos AS pos FROM fr")
 def rrf_fusion(spark, sf):
     lex = search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf))
     return search.rrf(lex, _query_vectors(spark, sf)).withColumn("score", F.round("score", 9))
@@ -193,10 +195,6 @@ rr AS (
 """
 
 
-#: Vectors of chunks that are not in the index are no hits.
-_INDEXED = "AND e.id IN (SELECT doc_id FROM documents)"
-
-
 @query("WITH " + _fill(_HYBRID, where="", n=50, vwhere=_INDEXED) + "," + _RERANK + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM rr WHERE score >= 0.2 QUALIFY pos <= 5")
 def recall_hybrid(spark, sf):
     hits = search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [_query_vectors(spark, sf)])

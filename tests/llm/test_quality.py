@@ -1,8 +1,10 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
-from loreforge.llm.quality import estimate, op1_quality_rules, quality
+import pytest
+from loreforge.llm.quality import LEAST_RATIO, PSEUDO, START, estimate, op1_quality_rules, quality, rules
 
 from brute import words
 
@@ -55,6 +57,48 @@ def test_estimate_recovers_chances():
     assert np.abs(chances[0, 0] - on_bad).max() < 0.05 and np.abs(chances[1, 0] - on_good).max() < 0.02
 
 
+def plain_posteriors(votes):
+    """EM text by text: START, PSEUDO and LEAST_RATIO are the operator's parameters."""
+    n_rules = len(votes[0])
+    share, ch = 0.85, [[[float(START[y][v])] * n_rules for v in (0, 1)] for y in (0, 1)]
+    prior = [(1 - 0.85) * PSEUDO, 0.85 * PSEUDO]
+    start = ch
+    for _ in range(300):
+        post = []
+        for row in votes:
+            log = [math.log(1 - share), math.log(share)]
+            for j, v in enumerate(row):
+                if v:
+                    for y in (0, 1):
+                        log[y] += math.log(ch[y][v > 0][j])
+            post.append(1 / (1 + math.exp(max(-500.0, min(500.0, log[0] - log[1])))))
+        new = [[[0.0] * n_rules for _ in (0, 1)] for _ in (0, 1)]
+        for j in range(n_rules):
+            for y in (0, 1):
+                part = [start[y][v][j] * prior[y] + sum((p if y else 1 - p) for p, row in zip(post, votes, strict=True) if row[j] and (row[j] > 0) == bool(v)) for v in (0, 1)]
+                new[y][0][j], new[y][1][j] = (x / sum(part) for x in part)
+            low = min(max(new[0][0][j], LEAST_RATIO * new[1][0][j]), 0.98)
+            new[0][0][j], new[0][1][j] = low, 1 - low
+        share = min(max((sum(post) + PSEUDO * 0.85) / (len(votes) + PSEUDO), 0.05), 0.99)
+        ch = new
+    out = []
+    for row in votes:
+        logit = math.log(share / (1 - share)) + sum(math.log(ch[1][v > 0][j] / ch[0][v > 0][j]) for j, v in enumerate(row) if v)
+        out.append(1 / (1 + math.exp(-logit)))
+    return out
+
+
+def test_posterior_text_by_text(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = quality(df).collect()
+    names = [f"vote_{r.name}" for r in rules()]
+    want = plain_posteriors([[r[n] for n in names] for r in got])
+    assert {v for r in got for v in (r[n] for n in names)} == {-1, 0, 1}
+    for r, p in zip(got, want, strict=True):
+        assert r.posterior == pytest.approx(p, abs=1e-5)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
 def test_query_agrees_with_labels(spark, small):
     sf = small.replace("sf0.001", "sf0.01")
     got = op1_quality_rules(spark, sf).collect()

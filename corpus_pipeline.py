@@ -16,13 +16,17 @@ from loreforge.llm.storage import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base or that the weighed rules find bad go."""
+    """Documents that fail the base or that the weighed rules find bad go; so do
+    null and empty texts, which fail the base. Rows that repeat are judged each,
+    null ids and sources change nothing. An empty table stays empty."""
     return quality_filter(docs)
 
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines go; a document that loses all goes too.
-    n_chars follows the text."""
+    """Later copies of runs of lines, and of lines of 50 words, go; a document that
+    loses all goes too. n_chars follows the text. Null texts stay as they are;
+    ties between texts of one id are settled by a hash of the text, and rows that
+    repeat id and text are one text. An empty table stays empty."""
     out = line_dedup(docs)
     gone = (F.col("n_removed") > 0) & (F.col("n_removed") >= F.col("n_lines"))
     out = out.filter(~gone).withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))})
@@ -30,18 +34,22 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of copies and near copies the least doc_id stays."""
+    """Of each class of copies and near copies the least doc_id stays, once, also
+    where rows repeat. Null texts stay. An empty table stays empty."""
     return near_dedup(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go. Null texts have no words and stay; with an empty
+    benchmark all stay. Rows that repeat are judged alike."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; null and empty texts have
+    size 0 and none is taken, a null source is a source of its own, rows that
+    repeat are rows of their own. An empty table gives an empty result."""
     return mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 

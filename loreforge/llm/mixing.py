@@ -105,20 +105,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken again from its start when it ends, at most `most` times. Null and
     empty texts have size 0 and are not taken; a null source is a source of its
     own; repeated rows and ids are rows of their own. The order is by a hash of
-    id and text, so reruns agree whatever the layout. Other columns are ignored. An empty table gives
+    id and size, then by id, size and text, so reruns agree whatever the layout. Other columns are ignored. An empty table gives
     empty results.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))))
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"))
     sizes = written(sizes.withColumn("rid", F.monotonically_increasing_id()), "op7-sizes")
+    sizes = sizes.withColumn("key", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string"))))
     plan = written(targets(sizes, most), "op7-plan")
     n_docs, n_sources = sizes.count(), plan.count()
     near = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
     digits = max(1, math.ceil(math.log(max(n_docs, 1) / 2000 + 1, 16)))
-    rows = sizes.join(near, sizes["source"].eqNullSafe(near["source"])).select("id", "rid", "size", "key", near["s"], "source_size", "target", "due", F.substring("key", 1, digits).alias("bucket"))
-    laid = _bucketed_start(rows, "s", "bucket", [F.col("key"), F.col("id"), F.col("size"), F.col("rid")], F.col("size"))
+    rows = sizes.join(near, sizes["source"].eqNullSafe(near["source"])).select("id", "rid", "size", "key", "tie", near["s"], "source_size", "target", "due", F.substring("key", 1, digits).alias("bucket"))
+    laid = _bucketed_start(rows, "s", "bucket", [F.col("key"), F.col("id"), F.col("size"), F.col("tie"), F.col("rid")], F.col("size"))
 
     # the line of a source, unrolled: pass p covers [p * source_size, (p + 1) * source_size)
     passes = laid.filter("size > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))))
@@ -143,7 +143,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 #: those of the schedule, point by point.
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, ''), '|', coalesce(text, ''))) AS key FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, ''), '|', len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))) AS key FROM documents
 ), p AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM d GROUP BY source
 ), q AS (SELECT *, (s % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM p),

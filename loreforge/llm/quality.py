@@ -233,9 +233,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that `quality` keeps, all columns as they are. The texts
-    are read twice, for the estimate and for the verdict, and never shuffled."""
-    post = fit(with_features(docs, text_col, [])).posterior()
-    return with_features(docs, text_col).filter(~_base_failed() & (post >= threshold)).select(*docs.columns)
+    are measured once and written with their counts, for the estimate and for the
+    verdict, and never shuffled."""
+    counted = written(with_features(docs, text_col), "op1-filter")
+    post = fit(counted).posterior()
+    return counted.filter(~_base_failed() & (post >= threshold)).select(*docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,39 +1,7 @@
-"""Cutting lineage with tables in the folder that the whole cluster shares."""
+"""Tables in the folder that the whole cluster shares, as the rest of the library cuts lineage too."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from loreforge.sources.scratch import SETTING, shared_dir, shared_path, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset (a local
-    session, as in tests) a temporary folder is made and set; a cluster without
-    the setting is refused, since no folder of one machine would do."""
-    where = spark.conf.get(SETTING, None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError(f"{SETTING} must name a folder that the cluster shares")
-        where = tempfile.mkdtemp(prefix="loreforge-")
-        spark.conf.set(SETTING, where)
-    return where.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/loreforge/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """The rows of `df`, written once as Parquet to the shared folder and read
-    from there: nothing above is computed again, and a lost executor costs only
-    the tasks that ran on it."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["SETTING", "shared_dir", "shared_path", "written"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP11_SQL, op11_centroid_clustering
 from .chat import op2_chat_formatting
 from .decontaminate import OP9_SQL, op9_decontamination
 from .html_main import op5_html_extraction
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP13_SQL, op13_filter_audit
 from .centroids import OP11_SQL, op11_centroid_clustering
 from .chat import op2_chat_formatting
 from .decontaminate import OP9_SQL, op9_decontamination
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op11_centroid_clustering": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }

@@ -11,6 +11,7 @@ from .lines import OP8_SQL, op8_line_dedup
 from .maxent import op10_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
 from .near_dup import op6_near_dedup
+from .packing import op12_packing
 from .quality import op1_quality_rules
 from .rollup import op3_token_rollup
 from .substring import OP4_SQL, op4_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_packing": op12_packing,
     "op13_filter_audit": op13_filter_audit,
 }
 

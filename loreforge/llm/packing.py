@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreforge.sources.scratch import spread
+
 from .storage import written
 
 CAPACITY = 2048
@@ -308,7 +310,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     rid, a number of the piece, as a table in the shared folder. A null text is
     empty and has the end id alone."""
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids binary")
+    cut = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(_cut(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids binary")
     return written(cut.withColumn("rid", F.monotonically_increasing_id()), "op12-pieces")
 
 

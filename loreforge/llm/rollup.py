@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreforge.sources.scratch import spread
+
 from .storage import shared_path, written
 
 
@@ -72,6 +74,9 @@ _loaded: dict[Tokenizer, object] = {}
 
 KEYS = ["source", "lang", "tokenizer"]
 _DELTA = "doc_id string, source string, lang string, tokenizer string, docs long, tokens long"
+#: After so many commits what stands is written whole, so that a commit looks
+#: documents up in one such table and at most as many batches, not in all history.
+COMPACT = 16
 _TOTAL = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -119,10 +124,18 @@ class TokenRollup:
         paths = [f"{self.path}/batch-{b}/rows" for b in self.committed()]
         return self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
 
+    def _recent(self) -> DataFrame:
+        """Rows that sum up to what each document with an id counts now: the last
+        whole table and the batches after it."""
+        done = self._commits()
+        whole = max((n for n, _ in done if n % COMPACT == 0), default=0)
+        paths = [f"{self.path}/batch-{b}/rows" for n, b in done if n > whole] + [f"{self.path}/batch-{b}/standing" for n, b in done if n == whole]
+        return self.spark.read.schema(_DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTA)
+
     def standing(self, of: DataFrame | None = None) -> DataFrame:
         """What each document with an id counts now; with `of` (column t: ids),
-        only those, and only their rows of the ledger are shuffled."""
-        rows = self.ledger().filter("doc_id is not null")
+        only those, and only their rows are shuffled."""
+        rows = self._recent().filter("doc_id is not null")
         if of is not None:
             rows = rows.join(of, F.col("doc_id") == F.col("t"), "left_semi")
         return rows.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
@@ -157,10 +170,11 @@ class TokenRollup:
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
         op = F.when(F.col("op").isin("insert", "revise", "delete"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))))
         text = F.when(F.col("op") != "delete", F.col("text")).alias("text")
-        # texts are counted where they are read; only counts are shuffled
-        rows = token_counts(changes.select(F.col("doc_id").cast("string").alias("doc_id"), seq.alias("seq"), op.alias("op"), "source", "lang", text), self.tokenizers)
+        # texts are counted where they are read, and once: what follows reads their counts twice
+        given = spread(changes.select(F.col("doc_id").cast("string").alias("doc_id"), seq.alias("seq"), op.alias("op"), "source", "lang", text))
+        rows = written(token_counts(given, self.tokenizers), "op3-counts")
         last = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("seq", "op", "n", "source", "lang")).alias("last")).select("doc_id", "last.*")
-        # written, since the documents are counted, and then asked for what they counted before
+        # asked for twice: for what it adds and for what its documents counted before
         last = written(last.unionByName(rows.filter("doc_id is null").select(*last.columns)), "op3-changes")
         names = F.array(*(F.lit(t.version) for t in self.tokenizers))
         plus = last.filter("op <> 'delete'").select("doc_id", "source", "lang", F.explode(F.arrays_zip(names.alias("tokenizer"), F.col("n").alias("tokens"))).alias("c"))
@@ -171,7 +185,12 @@ class TokenRollup:
         plus.unionByName(minus).write.mode("overwrite").parquet(f"{out}/rows")
         added = self.spark.read.schema(_DELTA).parquet(f"{out}/rows").groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         new = self.totals().unionByName(added).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0")
-        new.write.mode("overwrite").parquet(f"{out}/totals-{done[-1][0] + 1 if done else 1}")
+        number = done[-1][0] + 1 if done else 1
+        if number % COMPACT == 0:
+            rows = self._recent().unionByName(self.spark.read.schema(_DELTA).parquet(f"{out}/rows")).filter("doc_id is not null")
+            whole = rows.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
+            whole.select("doc_id", *KEYS, "docs", "tokens").write.mode("overwrite").parquet(f"{out}/standing")
+        new.write.mode("overwrite").parquet(f"{out}/totals-{number}")
         return True
 
 

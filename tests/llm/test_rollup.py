@@ -85,3 +85,19 @@ def test_query(spark, small):
             batch.append((0, "insert", r.doc_id, r.source, r.lang, r.text and re.sub(r"[ \t\n\x0b\f\r]+", " ", r.text).strip(" "), ""))
         seen.add(r.text)
     assert {tuple(r) for r in op3_token_rollup(spark, small).collect()} == brute([("load", batch)], (BYTES_50K, MULTI_50K))
+
+
+def test_lookups_read_a_whole_table_and_the_batches_after_it(spark, monkeypatch):
+    from loreforge.llm import rollup as R
+
+    monkeypatch.setattr(R, "COMPACT", 3)
+    rng = random.Random(8)
+    rollup = TokenRollup(spark, shared_path(spark, "test"))
+    batches = []
+    for b in range(8):
+        rows = [(s, rng.choice(["insert", "revise", "delete"]), rng.choice([None, *range(6)]), rng.choice(["a", None]), "en", rng.choice([None, "one two three"]), "") for s in range(6)]
+        batches.append((f"b{b}", rows))
+        rollup.commit(f"b{b}", spark.createDataFrame(rows, SCHEMA))
+    assert {tuple(r) for r in rollup.totals().collect()} == brute(batches, (BYTES_50K,))
+    read = {f.split("/")[-2] + "/" + f.split("/")[-3] for f in rollup._recent().inputFiles()}
+    assert read == {"standing/batch-b5", "rows/batch-b6", "rows/batch-b7"}

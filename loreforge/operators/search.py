@@ -54,7 +54,10 @@ def bm25(index: TextIndex, queries: DataFrame, allowed: DataFrame | None = None,
     """query_id, id, score, pos (from 1): the best `limit` chunks per query that
     share a token with it; a repeated query token counts each time. Statistics
     are over all chunks; only those in `allowed` (column id), if given, appear.
-    A term in over half of the chunks has the idf 1e-6. Ties by id."""
+    A term in over half of the chunks has the idf 1e-6. Ties by id. A stored index
+    finds the same rows by its own way."""
+    if not isinstance(index, TextIndex):
+        return index.search(queries, allowed, limit)
     terms = queries.select("query_id", F.explode(fts_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     words = terms.select("term").distinct()
     near = F.broadcast if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
@@ -142,6 +145,8 @@ def overlap_rerank(hits: DataFrame, queries: DataFrame, index: TextIndex) -> Dat
     """The offline reranker: the share of a query's distinct tokens that the text
     of a hit (chunk_id) has. Adds score; run it after the cut, on few rows. An own
     provider has the same form: hits (query_id, chunk_id), queries, index."""
+    if not isinstance(index, TextIndex):
+        return index.overlap(hits, queries)
     q = queries.select("query_id", F.array_distinct(fts_tokens(F.col("query"))).alias("q"))
     c = index.tokens.select(F.col("id").alias("chunk_id"), F.array_distinct("t").alias("c"))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect("q", "c")), F.size("q")), F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions import dates, text, vectors
-from loreforge.operators import chunking, reports, search, state, transcripts
+from loreforge.operators import chunking, reports, search, state, textindex, transcripts
 from loreforge.sources import documents, sinks
 from loreforge.sources.adapters import cte, load
 from loreforge.sources.scratch import spread
@@ -53,6 +53,12 @@ def _docs(spark, sf):
     return load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _index(spark, sf):
+    """The stored index of the documents: made by the first query that asks for
+    it, read by those after it."""
+    return textindex.index_of(spark, f"{sf}/documents.parquet", "doc_id", "text")
+
+
 def _queries(spark, sf):
     return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -89,14 +95,14 @@ def fts_term_stats(spark, sf):
 
 @query("WITH " + _fill(_BM25, where="", n=10) + " SELECT query_id, id, round(score, 6) AS score, pos FROM bmr")
 def fts_bm25_topk(spark, sf):
-    return search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), limit=10).withColumn("score", F.round("score", 6))
+    return search.bm25(_index(spark, sf), _queries(spark, sf), limit=10).withColumn("score", F.round("score", 6))
 
 
 @query(cte("notes") + ", " + _fill(_BM25, where="WHERE id IN (SELECT id FROM notes WHERE status = 'active' AND deleted_h IS NULL AND space_id IN (1, 2) AND kind IN ('note', 'fact', 'decision') AND lang = 'en')", n=10) + " SELECT query_id, id, round(score, 6) AS score, pos FROM bmr")
 def fts_filtered_topk(spark, sf):
     notes = load(spark, sf, "notes").withColumn("tags", F.array("lang", "tag2"))
     allowed = search.allowed_notes(notes, spaces=[1, 2], kinds=["note", "fact", "decision"], tags=["en"])
-    return search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), allowed, 10).withColumn("score", F.round("score", 6))
+    return search.bm25(_index(spark, sf), _queries(spark, sf), allowed, 10).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- vectors
@@ -183,7 +189,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query("WITH " + _fill(_HYBRID, where="", n=50, vwhere=_INDEXED) + " SELECT query_id, id, round(score, 9) AS score, rrf_pos AS pos FROM fr")
 def rrf_fusion(spark, sf):
-    lex = search.bm25(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf))
+    lex = search.bm25(_index(spark, sf), _queries(spark, sf))
     return search.rrf(lex, _query_vectors(spark, sf)).withColumn("score", F.round("score", 9))
 
 
@@ -197,7 +203,7 @@ rr AS (
 
 @query("WITH " + _fill(_HYBRID, where="", n=50, vwhere=_INDEXED) + "," + _RERANK + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos FROM rr WHERE score >= 0.2 QUALIFY pos <= 5")
 def recall_hybrid(spark, sf):
-    hits = search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [_query_vectors(spark, sf)])
+    hits = search.recall(_index(spark, sf), _queries(spark, sf), [_query_vectors(spark, sf)])
     return hits.drop("chunk_id").withColumn("score", F.round("score", 6))
 
 
@@ -215,7 +221,7 @@ def recall_project_boost(spark, sf):
     v = _vectors(spark, sf).join(notes.select("id"), "id", "left_semi")
     q = _vectors(spark, sf).join(_queries(spark, sf).select(F.col("query_id").alias("id")), "id").withColumnRenamed("id", "query_id")
     hits = search.vector_topk(v, q, 50)
-    got = search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [hits], notes=notes, project="src0", rerank=None)
+    got = search.recall(_index(spark, sf), _queries(spark, sf), [hits], notes=notes, project="src0", rerank=None)
     return got.drop("chunk_id").withColumn("score", F.round("score", 9))
 
 
@@ -265,7 +271,7 @@ def recall_notes(spark, sf):
     # a row per source and language
     notes = notes.withColumn("note_id", F.row_number().over(Window.orderBy("source", "lang")).cast("long"))
     owner = d.join(F.broadcast(notes), d["source"].eqNullSafe(notes["source"]) & d["lang"].eqNullSafe(notes["lang"])).select(F.col("doc_id").alias("id"), "note_id")
-    return search.recall(search.TextIndex.build(_docs(spark, sf)), _queries(spark, sf), [_query_vectors(spark, sf)], owner=owner).withColumn("score", F.round("score", 6))
+    return search.recall(_index(spark, sf), _queries(spark, sf), [_query_vectors(spark, sf)], owner=owner).withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- text

@@ -196,14 +196,15 @@ def _parse(parts: list[bytes], hits: pa.Array, own: int, key: int, blocks: Block
     x = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(blocks.count[i])[:-1]], blocks.count[i])
     hit = (mask[rep] >> x) & 1 == 1
     block, at = rep[hit], blocks.first[i[rep]][hit] + x[hit] - base
-    edge = np.zeros(len(parts) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    gone = np.cumsum(edge[:-1]) > 0
     cut = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + 1) | (block[1:] != block[:-1])])
     stop = np.r_[cut[1:], len(at)] - 1
     refs = list(zip(lo[block[cut]].tolist(), hi[block[cut]].tolist(), strict=True))
     factors = [{"start": s, "length": e - s + window, "ref_row": ref} for s, e, ref in _greedy(at[cut], at[stop], refs, own)]
+    # the words of the factors go
+    edge = np.zeros(len(parts) + 1, np.int64)
+    np.add.at(edge, [f["start"] for f in factors], 1)
+    np.add.at(edge, [f["start"] + f["length"] for f in factors], -1)
+    gone = np.cumsum(edge[:-1]) > 0
     return [w for w, g in zip(parts, gone.tolist(), strict=True) if not g], factors, int(gone.sum())
 
 

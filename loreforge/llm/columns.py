@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,3 +32,29 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
 
 #: Words that most operators count: runs of all but space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+
+
+def own_names(*added: str):
+    """For operators that give back the columns of `docs`: these go through the
+    operator as column_0, column_1 and so on, and get their names back at the
+    end, so no name in a table can meet one that the operator uses inside.
+    Columns with a name in `added`, those of its result, are replaced."""
+
+    def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        form = signature(fn)
+
+        @wraps(fn)
+        def run(*args, **kwargs) -> DataFrame:
+            given = form.bind(*args, **kwargs)
+            given.apply_defaults()
+            docs = given.arguments["docs"]
+            at = {c: f"column_{i}" for i, c in enumerate(x for x in docs.columns if x not in added)}
+            given.arguments["docs"] = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in at.items()))
+            for p in ("id_col", "text_col"):
+                if p in given.arguments:
+                    given.arguments[p] = at[given.arguments[p]]
+            return fn(*given.args, **given.kwargs).withColumnsRenamed({a: c for c, a in at.items()})
+
+        return run
+
+    return wrap

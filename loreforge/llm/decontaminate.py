@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, row_key
+from .columns import let, own_names, row_key
 
 N = 13
 BROADCAST_WORDS = 100_000
@@ -106,6 +106,7 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda acc: acc["n"])
 
 
+@own_names("n_words", "n_hit", "items", "spans", "contaminated")
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Adds to the columns of docs: n_words, n_hit (words inside any
     window occurrence), items (sorted ids, as strings, of items with occurring

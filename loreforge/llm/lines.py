@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import WORD, let, row_key
+from .columns import WORD, let, own_names, row_key
 from .storage import written
 
 #: Lines of a run, and words of a line that is a run by itself.
@@ -51,6 +51,7 @@ def _windows(lines: Column, w: int) -> Column:
     return let(lines, both)
 
 
+@own_names("n_lines", "n_removed", "kept_text")
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, long_line: int = LONG_LINE) -> DataFrame:
     """Adds to the columns of `docs`: n_lines (lines with a word), n_removed and
     kept_text. A line goes if it lies in `min_run` or more consecutive lines, or
@@ -63,8 +64,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbers have the order of a hash; texts that share an id are ordered by a
     hash of the text; rows that repeat id and text are one text and get one
     result. A null text has no lines and stays null; a text that loses all lines
-    is empty. Clashing column names of `docs` (k1, k2, n_lines ...) are kept
-    apart by doing the work on renamed columns; existing n_lines, n_removed and
+    is empty. Other columns may have any names; existing n_lines, n_removed and
     kept_text are replaced. An empty table gives an empty result.
     """
     k1, k2 = row_key(docs, id_col, text_col)

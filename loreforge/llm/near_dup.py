@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .columns import own_names
 from .components import components
 from .storage import written
 
@@ -394,9 +395,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return mine.unionByName(none).withColumnRenamed("id", id_col)
 
 
+@own_names()
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs that stay when of each class the text with the least id
-    does, once; all columns as they are. Null texts stay."""
+    does, once; all columns as they are, whatever their names. Null texts stay."""
     text = F.col(text_col)
     known = classes(docs, id_col, text_col, **more)
     keys = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(17), text).alias("__t2"), text.isNull().alias("__none"))

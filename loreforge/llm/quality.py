@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .columns import own_names
 from .storage import written
 
 _U = np.uint64
@@ -80,7 +81,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     newline = np.flatnonzero(buf == 10)
     lo = np.unique(np.r_[offs[:-1][np.diff(offs) > 0], newline + 1])
     lo = lo[lo < len(buf)]
-    hi = np.r_[lo[1:], len(buf)]
+    hi = np.r_[lo[1:], len(buf)][: len(lo)]
     ends_in_newline = buf[hi - 1] == 10 if len(hi) else np.empty(0, bool)
     hi = hi - ends_in_newline
     filled = np.searchsorted(starts, hi) > np.searchsorted(starts, lo)
@@ -231,8 +232,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.withColumnsRenamed({"id": id_col, **{f"__{f}": f for f in FEATURES}})
 
 
+@own_names()
 def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that `quality` keeps, all columns as they are. The texts
+    """The rows of docs that `quality` keeps, all columns as they are, whatever
+    their names. The texts
     are measured once and written with their counts, for the estimate and for the
     verdict, and never shuffled."""
     counted = written(with_features(docs, text_col), "op1-filter")

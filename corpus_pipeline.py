@@ -27,10 +27,12 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     loses all goes too. n_chars follows the text. Null texts stay as they are;
     ties between texts of one id are settled by a hash of the text, and rows that
     repeat id and text are one text. An empty table stays empty."""
-    out = line_dedup(docs)
-    gone = (F.col("n_removed") > 0) & (F.col("n_removed") >= F.col("n_lines"))
-    out = out.filter(~gone).withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))})
-    return out.select(*docs.columns)
+    # the row travels as one column, so that its names meet none of the result's
+    out = line_dedup(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row")))
+    out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    cut = F.col("n_removed") > 0
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go. Null texts have no words and stay; with an empty
     benchmark all stay. Rows that repeat are judged alike."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated"))
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

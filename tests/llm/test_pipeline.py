@@ -3,6 +3,7 @@ import test_decontaminate
 import test_lines
 import test_near_dup
 from loreforge.llm.quality import quality
+from pyspark.sql import functions as F
 
 
 def test_run_against_plain_stages(spark, small):
@@ -24,3 +25,17 @@ def test_stages_keep_columns_and_take_empty_tables(spark, small):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, some, small).dtypes == docs.dtypes
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_any_names(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    none = docs.limit(3).withColumns({"text": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")})
+    some = docs.unionByName(docs.limit(20)).unionByName(none)
+    names = ["__text", "__n_words", "__t1", "__k1", "__n", "n_lines", "n_removed", "kept_text", "n_words", "n_hit", "items", "spans", "contaminated", "row", "k1", "hits"]
+    some = some.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, some, small)
+        assert got.dtypes == some.dtypes, name
+        rows = got.collect()
+        assert rows and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, some, small).count() == some.count()

@@ -194,10 +194,11 @@ def usage_fields(raw: DataFrame, col: str = "usage") -> DataFrame:
 def summary_input(lines: DataFrame, keys: list[str], most: int = SUMMARY_CHARS) -> DataFrame:
     """text: a session's condensed lines (seq, part, line), the last `most`
     characters. Only the lines that reach into them are gathered."""
-    back = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("part").desc(), F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.withColumn("after", F.coalesce(F.sum(F.length("line") + 1).over(back), F.lit(0)))
     total = F.max(F.col("after") + F.length("line")).alias("total")
-    near = F.when(F.col("after") < most, F.struct("seq", "part", "line"))
+    # the line end before the last line that reaches in belongs to the tail too
+    near = F.when(F.col("after") <= most, F.struct("seq", "part", "line"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(near)), lambda x: x["line"]), "\n")
     rows = rows.groupBy(*keys).agg(whole.alias("text"), total)
     return rows.withColumn("text", F.when(F.col("total") > most, F.concat(F.lit("… [cut]\n"), F.right("text", F.lit(most)))).otherwise(F.col("text"))).drop("total")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions.dates import work_day
 from loreforge.functions.text import clip
+from loreforge.sources.scratch import written
 
 STALE_DAYS, SOON_DAYS, RELATION_DAYS = 14, 3, 30
 SECTION_LIMITS = {"due": 10, "waiting": 10, "open": 20, "decision": 12, "preference": 12, "note": 10, "episode": 5, "relation": 10}
@@ -225,28 +226,73 @@ def near_opening(notes: DataFrame, opening: Column) -> DataFrame:
     return rows.join(first, ["space_id", "kind", "opening"]).select("id", "first_id", "n")
 
 
-def sequential_near_dups(vectors: DataFrame, group_cols: list[str], skip_at: float = 0.95) -> DataFrame:
-    """Notes of one batch (group_cols, id, kind, vec) in order of id: one that is
-    as similar as skip_at to an earlier one of its kind that was kept is skipped,
-    and names it. Groups are the notes that one extraction gave, which its
-    windows bound; other callers bound them."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+def _near_blocks(skip_at: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        pdf = pdf.sort_values("id")
-        m = np.stack(pdf["vec"].to_list()).astype(np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        kinds, kept, of = pdf["kind"].to_list(), {}, []
-        for i in range(len(m)):
-            mine = kept.setdefault(kinds[i], [])
-            sims = m[mine] @ m[i] if mine else np.empty(0)
-            j = np.flatnonzero(sims >= skip_at - 1e-12)
-            of.append(None if not len(j) else int(pdf["id"].iloc[mine[j[0]]]))
-            if not len(j):
-                mine.append(i)
-        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in group_cols}, "id": pdf["id"].to_numpy(), "copy_of": pd.array(of, "Int64")})
-
-    kinds = ", ".join(f"{c} {dict(vectors.dtypes)[c]}" for c in group_cols)
-    return vectors.groupBy(*group_cols).applyInPandas(one, f"{kinds}, id long, copy_of long")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = (batch.column(c)[row].values for c in ("a", "b"))
+                am, bm = (s.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) for s in (a, b))
+                norm = np.linalg.norm(am, axis=1)[:, None] * np.linalg.norm(bm, axis=1)[None]
+                sim = np.divide(am @ bm.T, norm, out=np.zeros_like(norm), where=norm > 0)
+                ai, bi = (s.field("nth").to_numpy() for s in (a, b))
+                x, y = np.nonzero((sim >= skip_at - 1e-12) & (ai[:, None] != bi[None]))
+                lo, hi = np.minimum(ai[x], bi[y]), np.maximum(ai[x], bi[y])
+                order = np.lexsort((lo, hi))
+                later, start = np.unique(hi[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(later), pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(lo[order]))], ["later", "earlier"])
+
+    return run
+
+
+def near_pairs(vectors: DataFrame, group: list[str], at: float, block: int = 1024) -> DataFrame:
+    """later and earlier (array): which rows (group, nth, vec) of a group and
+    dimension are as similar as `at`; nth tells rows of the table apart and orders
+    them. Blocks of a group meet in pairs, each pair one matrix product; what is
+    not similar never becomes a row."""
+    g = F.xxhash64(F.size("vec"), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in group)).alias("g")
+    rows = vectors.filter(F.size("vec") > 0).select(g, "nth", F.col("vec").cast("array<double>").alias("vec"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+    packed = rows.join(sizes, "g").groupBy("g", "n", F.pmod(F.xxhash64("nth"), "n").alias("b")).agg(F.collect_list(F.struct("nth", "vec")).alias("v"))
+    packed = written(packed, "near-blocks")
+    left = packed.select("g", F.col("b").alias("x"), F.col("v").alias("a"), F.explode(F.sequence("b", F.col("n") - 1)).alias("b"))
+    return left.join(packed.select("g", "b", F.col("v").alias("v")), ["g", "b"]).select("a", F.col("v").alias("b")).mapInArrow(_near_blocks(at), "later long, earlier array<long>")
+
+
+def sequential_near_dups(vectors: DataFrame, group_cols: list[str], skip_at: float = 0.95) -> DataFrame:
+    """group_cols, id and copy_of of notes (group_cols, id, kind, vec), each group
+    and kind in order of id: a note that is as similar as skip_at to an earlier
+    one that was kept is skipped and names the first such; the others are kept.
+    Ids are whole numbers, each once. A zero, empty or null vector is like none.
+
+    The rule is sequential, the work is not: similar pairs are found in blocks,
+    and then rounds settle notes of which all earlier neighbours are settled: one
+    that a kept one stands before is skipped, one that only skipped ones do is
+    kept. Equal vectors share the fate of their first. There are as many rounds as
+    the longest chain of notes that wait for one another, which near copies keep
+    short; a round is written to the shared folder, and only a count is read."""
+    group = [*group_cols, "kind"]
+    same = written(vectors.groupBy(*group, F.col("vec").cast("array<double>").alias("vec")).agg(F.min("id").alias("nth")), "near-first")
+    pairs = written(near_pairs(same, group, skip_at).select("later", F.explode("earlier").alias("earlier")), "near-pairs")
+    # settled: node and of (null: kept)
+    waits, settled = pairs, written(pairs.select(F.col("earlier").alias("node")).distinct().join(pairs.select(F.col("later").alias("node")), "node", "left_anti").withColumn("of", F.lit(None).cast("long")), "near-settled")
+    while True:
+        known = settled.select(F.col("node").alias("earlier"), F.col("of").isNull().alias("kept"), F.lit(True).alias("known"))
+        told = waits.join(known, "earlier", "left").groupBy("later").agg(
+            F.min(F.when(F.col("kept"), F.col("earlier"))).alias("of"), F.min(F.coalesce("known", F.lit(False))).alias("all"), F.min(F.when(F.col("known").isNull(), F.col("earlier"))).alias("open")
+        )
+        # a kept one that is known names the copy only if no earlier one can still be kept
+        ready = told.filter(F.col("all") | (F.col("of") < F.col("open"))).select(F.col("later").alias("node"), "of")
+        more = written(ready, "near-ready")
+        if not more.limit(1).count():
+            break
+        settled = written(settled.unionByName(more), "near-settled")
+        waits = written(waits.join(more.select(F.col("node").alias("later")), "later", "left_anti").select("later", "earlier"), "near-waits")
+    fate = same.join(settled.withColumnRenamed("node", "nth"), "nth", "left")
+    copied = F.size("vec") > 0
+    zero = F.coalesce(F.forall("vec", lambda x: x == 0), F.lit(True))
+    at = F.when(F.col("of").isNotNull(), F.col("of")).when(copied & ~zero & (F.col("id") != F.col("nth")), F.col("nth"))
+    rows = vectors.select(*group_cols, "id", "kind", F.col("vec").cast("array<double>").alias("vec")).alias("v")
+    on = [F.col(f"v.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*group, "vec"]]
+    return rows.join(fate.alias("f"), on).select(*(F.col(f"v.{c}").alias(c) for c in group_cols), F.col("v.id").alias("id"), F.col("f.nth").alias("nth"), F.col("f.of").alias("of"), F.col("v.vec").alias("vec")).select(*group_cols, "id", at.alias("copy_of"))

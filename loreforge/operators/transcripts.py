@@ -14,7 +14,8 @@ EXTRACT_KINDS = ["fact", "preference", "decision", "note", "task_hint", "procedu
 
 _BLOCKS = "array<struct<type:string,text:string,name:string,input:string>>"
 _EXTRACTION = (
-    "notes array<struct<kind:string,text:string,tags:array<string>,why:string>>, tasks array<struct<title:string,next_step:string,why:string,owner:string,waiting_on:string,due:string>>, "
+    "notes array<struct<kind:string,text:string,tags:array<string>,why:string,who:array<string>,`when`:string,as_of:string,ref:string,alternatives:array<string>,scope:string>>, "
+    "tasks array<struct<title:string,next_step:string,why:string,owner:string,waiting_on:string,due:string,constraints:string>>, "
     "task_updates array<struct<id:long,status:string,next_step:string,waiting_on:string,due:string>>, relations array<struct<from:string,to:string,type:string,note_index:int>>"
 )
 
@@ -68,7 +69,7 @@ def parse_extraction(outputs: DataFrame, text_col: str = "output") -> DataFrame:
     ex = outputs.withColumn("ex", F.from_json(json_slice(F.col(text_col)), _EXTRACTION))
     kind = lambda n: F.lower(trim_all(n["kind"]))
     blank = lambda x: F.coalesce(trim_all(x), F.lit("")) == ""
-    bad_kind = F.exists(F.coalesce("ex.notes", F.array().cast("array<struct<kind:string,text:string,tags:array<string>,why:string>>")), lambda n: ~F.coalesce(kind(n).isin(*EXTRACT_KINDS), F.lit(False)) | blank(n["text"]))
+    bad_kind = F.coalesce(F.exists("ex.notes", lambda n: ~F.coalesce(kind(n).isin(*EXTRACT_KINDS), F.lit(False)) | blank(n["text"])), F.lit(False))
     bad_task = F.coalesce(F.exists("ex.tasks", lambda t: blank(t["title"])), F.lit(False))
     error = F.when(F.col("ex").isNull() | F.try_parse_json(json_slice(F.col(text_col))).isNull(), "json").when(bad_kind, "note").when(bad_task, "task")
     notes = F.transform("ex.notes", lambda n: n.withField("kind", kind(n)))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loreforge.functions.text import embed_text, redact, trim_all
 from loreforge.operators.chunking import chunk
-from loreforge.operators.state import TASK_FIELDS, content_hash, fold_notes, upsert_notes
-from loreforge.operators.transcripts import parse_extraction
+from loreforge.operators.state import content_hash, fold_notes, upsert_notes
 
 # The kinds of notes.
 KINDS = ["note", "fact", "preference", "decision", "document", "procedure", "task_hint", "transcript", "caption"]
@@ -63,37 +64,6 @@ def upsert_embeddings(vectors: DataFrame, new: DataFrame) -> DataFrame:
     return vectors.join(best.select("chunk_id", "model"), ["chunk_id", "model"], "left_anti").select("chunk_id", "model", "vec").unionByName(best)
 
 
-@dataclass(frozen=True)
-class Extracted:
-    """The rows that extraction outputs ask for."""
-
-    notes: DataFrame
-    tasks: DataFrame
-    updates: DataFrame
-    bad_updates: DataFrame
-    relations: DataFrame
-    broken: DataFrame
-
-
-def extracted(outputs: DataFrame, open_ids: DataFrame) -> Extracted:
-    """From outputs of extractions (session_id, space_id, project, output): the
-    notes, tasks and relations to write, each with nth, its place; the updates of
-    open tasks (open_ids: id) and those that name other ids, which are left out;
-    and the outputs that are broken and give nothing. A relation keeps the place
-    of its note, null where it names none."""
-    x = parse_extraction(outputs, "output")
-    key = ["session_id", "space_id", "project"]
-    good = x.filter("error is null")
-    each = lambda c: good.select(*key, F.posexplode(f"ex.{c}").alias("nth", "r"))
-    notes = each("notes").select(*key, "nth", F.col("r.kind").alias("kind"), F.col("r.text").alias("text"), F.coalesce("r.tags", F.array().cast("array<string>")).alias("tags"), F.trim("r.why").alias("why"))
-    given = lambda c: F.when(F.trim(f"r.{c}") != "", F.trim(f"r.{c}"))
-    tasks = each("tasks").select(*key, "nth", F.col("r.title").alias("title"), *(given({"due_at": "due"}.get(f, f)).alias(f) for f in TASK_FIELDS if f != "constraints"))
-    asked = each("task_updates").select(*key, "nth", F.col("r.id").alias("id"), F.col("r.status").alias("status"), given("next_step").alias("next_step"), given("waiting_on").alias("waiting_on"), given("due").alias("due_at"))
-    n_notes = good.select("session_id", F.size(F.coalesce("ex.notes", F.array().cast("array<struct<kind:string,text:string,tags:array<string>,why:string>>"))).alias("n_notes"))
-    rel = each("relations").join(n_notes, "session_id").select(*key, "nth", F.col("r.from").alias("from_ref"), F.col("r.to").alias("to_ref"), F.col("r.type").alias("rel_type"), F.when((F.col("r.note_index") >= 0) & (F.col("r.note_index") < F.col("n_notes")), F.col("r.note_index")).alias("note_nth"))
-    return Extracted(notes, tasks, asked.join(open_ids, "id", "left_semi"), asked.join(open_ids, "id", "left_anti"), rel, x.filter("error is not null").select("session_id", "error"))
-
-
 def project_of(path: Column, home: str = "/root") -> Column:
     """The project of a working folder: its name; '' for the root, the home folder
     and no folder."""
@@ -101,11 +71,32 @@ def project_of(path: Column, home: str = "/root") -> Column:
     return F.when((F.coalesce(clean, F.lit("")) == "") | (clean == home), "").otherwise(F.regexp_extract(clean, "([^/]+)$", 1))
 
 
+def _patched(old, patch):
+    """RFC 7396: objects are merged field by field, to any depth; a null takes a
+    field out, and what is no object replaces what was there."""
+    out = dict(old) if isinstance(old, dict) else {}
+    for k, v in patch.items():
+        if v is None:
+            out.pop(k, None)
+        else:
+            out[k] = _patched(out.get(k), v) if isinstance(v, dict) else v
+    return out
+
+
+def _object(text: str | None) -> dict:
+    try:
+        found = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def _merge_patch(old: str | None, patch: str | None) -> str:
+    return json.dumps(_patched(_object(old), _object(patch)), ensure_ascii=False, separators=(",", ":"))
+
+
 def merge_patch(old: Column, patch: Column) -> Column:
-    """JSON objects merged field by field: a patch's fields are set, null ones
-    taken out, the others stay. A broken or null side is an empty object."""
-    kind = "map<string,variant>"
-    none = F.from_json(F.lit("{}"), kind)
-    o, p = (F.coalesce(F.from_json(c, kind), none) for c in (old, patch))
-    both = F.map_concat(F.map_filter(o, lambda k, v: ~F.map_contains_key(p, k)), F.map_filter(p, lambda k, v: ~F.coalesce(F.is_variant_null(v), F.lit(True))))
-    return F.to_json(both)
+    """A JSON object after a merge patch. Depth has no bound, which no expression
+    over columns has, hence a small function in Arrow batches. A broken or null
+    side, or one that is no object, is an empty object."""
+    return F.udf(_merge_patch, StringType(), useArrow=True)(old, patch)

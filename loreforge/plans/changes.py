@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions import dates, text, vectors
-from loreforge.operators import memory, reports, search, state, writing
+from loreforge.operators import extraction, memory, reports, search, state, writing
 from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, query
 from loreforge.sources.adapters import cte, load
 from loreforge.streaming import capture
@@ -94,7 +94,7 @@ def extraction_apply(spark, sf):
     )
     outputs = g.select(i.alias("session_id"), F.lit(1).cast("long").alias("space_id"), F.lit(None).cast("string").alias("project"), F.when(i % 5 == 0, F.lit("{broken")).otherwise(out).alias("output"))
     open_ids = spark.range(1, 2)
-    x = writing.extracted(outputs, open_ids)
+    x = extraction.extracted(outputs, open_ids)
     parts = {"note": x.notes, "task": x.tasks, "update": x.updates, "bad_update": x.bad_updates, "relation": x.relations, "broken": x.broken}
     return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, df in parts.items()))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from loreforge.functions import vectors
 from loreforge.operators import memory, state, writing
+from loreforge.operators import extraction as X
 from pyspark.sql import functions as F
 
 
@@ -147,7 +148,7 @@ def test_write_path(spark):
 def test_extracted(spark):
     out = '{"notes":[{"kind":"fact","text":"a"}],"tasks":[{"title":"t","next_step":" ","due":"2024-01-02"}],"task_updates":[{"id":3,"status":"done"},{"id":4}],"relations":[{"from":"x","to":"y","type":"r","note_index":0},{"from":"x","to":"y","type":"r","note_index":5}]}'
     df = spark.createDataFrame([(1, 1, None, out), (2, 1, None, "no")], "session_id long, space_id long, project string, output string")
-    x = writing.extracted(df, spark.createDataFrame([(3,)], "id long"))
+    x = X.extracted(df, spark.createDataFrame([(3,)], "id long"))
     assert [(r.kind, r.text, r.nth) for r in x.notes.collect()] == [("fact", "a", 0)]
     assert [(r.title, r.next_step, r.due_at) for r in x.tasks.collect()] == [("t", None, "2024-01-02")]
     assert [r.id for r in x.updates.collect()] == [3] and [r.id for r in x.bad_updates.collect()] == [4]

@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions.dates import work_day
-from loreforge.functions.text import clip
 from loreforge.sources.scratch import written
 
 STALE_DAYS, SOON_DAYS, RELATION_DAYS = 14, 3, 30
+#: From when on the minutes of episodes count.
+EPOCH = "1998-01-01"
+# The words in the lines of a briefing.
+OVERDUE, DUE, TOUCHED, STALE = "QUÁ HẠN ", "hạn ", "cập nhật ", "stale"
+OWNER, WAITS, NEXT, BECAUSE = " — người làm: ", " — chờ: ", " — bước kế: ", "vì: "
+CUT = "… (còn %d mục bị cắt do ngân sách)\n"
+OUTSIDE = "- … còn %d việc ngoài project hiện tại (task_list để xem)"
+TITLES = dict(enumerate(["Quá hạn / sắp đến hạn", "Đang chờ người khác", "Việc đang mở", "Quyết định gần đây", "Sở thích", "Liên quan", "Phiên gần đây", "Notes mới", "Đã ghi kể từ recap trước (sai thì sửa/xoá theo #id)"], 1))
 SECTION_LIMITS = {"due": 10, "waiting": 10, "open": 20, "decision": 12, "preference": 12, "note": 10, "episode": 5, "relation": 10}
 LONG_PROMPT, LARGE_BODY, SLOW_MS = 30_000, 256 * 1024, 60_000
 
@@ -54,11 +61,48 @@ def recent_relations(relations: DataFrame, notes: DataFrame, since: Column) -> D
     return relations.filter(F.col("created_at") >= since).join(gone, "source_note_id", "left_anti").select(*relations.columns)
 
 
+def _day(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def _optional(df: DataFrame, c: str, kind: str = "string") -> Column:
+    return F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+
+
+def project_tag(own: Column, current: str | None) -> Column:
+    """[project], unless it is none or the current one."""
+    own = F.coalesce(own, F.lit(""))
+    return F.when((own == "") | (own == (current or "")), "").otherwise(F.concat(F.lit(" ["), own, F.lit("]")))
+
+
+def _after(label: str, c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c)).otherwise("")
+
+
+def task_line(tasks: DataFrame, today: Column, now: Column, project: str | None = None) -> Column:
+    """Id, when it is due or was last touched, title, project, owner, what it
+    waits for and the next step."""
+    due = F.col("due_at").cast("string")
+    when = F.when(due < _day(today), F.concat(F.lit(OVERDUE), due)).when(due.isNotNull() & (due != ""), F.concat(F.lit(DUE), due)).otherwise(F.concat(F.lit(TOUCHED), _day(F.col("updated_at"))))
+    stale = F.when(F.col("updated_at") < now - F.make_dt_interval(days=F.lit(STALE_DAYS)), ", " + STALE).otherwise("")
+    head = F.concat(F.lit("- #"), F.col("id").cast("string"), F.lit(" ("), when, stale, F.lit("): "), "title", project_tag(F.col("project"), project))
+    return F.concat(head, _after(OWNER, _optional(tasks, "owner")), _after(WAITS, F.col("waiting_on")), _after(NEXT, F.col("next_step")))
+
+
+def note_line(notes: DataFrame, day: Column, project: str | None = None) -> Column:
+    """Day, text, its reason unless the text holds it, scope and project."""
+    why = F.coalesce("why", F.lit(""))
+    reason = F.when((why != "") & ~F.contains("text", why), F.concat(F.lit(f" ({BECAUSE}"), why, F.lit(")"))).otherwise("")
+    scope = F.coalesce(_optional(notes, "scope"), F.lit(""))
+    return F.concat(F.lit("- "), _day(day), F.lit(": "), "text", reason, F.when(scope != "", F.concat(F.lit(" ["), scope, F.lit("]"))).otherwise(""), project_tag(F.col("project"), project))
+
+
 def briefing_items(tasks: DataFrame, notes: DataFrame, episodes: DataFrame, relations: DataFrame, now: str, now_h: int, project: str | None = None, start_hour: int = 4) -> DataFrame:
     """space_id, section (1 to 8), nth and line of the briefing of each space:
     due, waiting and open tasks, decisions, preferences, relations, sessions and
     notes, each within its limit; a task or note stands in its first section
-    only. `now` is a timestamp, now_h the same in the hours of notes. Due is what
+    only. `now` is a timestamp, now_h the same in the hours of notes; the minutes
+    of episodes count from EPOCH. Due is what
     ends within SOON_DAYS of the work day, which begins at start_hour. With a
     project, open tasks are those of its family, its own first, and a last line
     counts the others."""
@@ -71,34 +115,39 @@ def briefing_items(tasks: DataFrame, notes: DataFrame, episodes: DataFrame, rela
     own = open_ if project is None else open_.filter(in_family(F.col("project"), project))
     prefer = [] if project is None else [F.when(F.coalesce("project", F.lit("")) == project, 0).otherwise(1)]
     rest = limited(own, [*prefer, F.col("updated_at").desc(), F.col("id")], SECTION_LIMITS["open"])
-    line = F.concat(F.lit("- "), F.col("title"))
-    items = [df.select("space_id", F.lit(s).alias("section"), "nth", F.concat(F.lit("t"), F.col("id").cast("string")).alias("key"), line.alias("line")) for s, df in ((1, due), (2, waiting), (3, rest))]
+    items = [df.select("space_id", F.lit(s).alias("section"), "nth", F.concat(F.lit("t"), F.col("id").cast("string")).alias("key"), task_line(df, work_day(at, start_hour), at, project).alias("line")) for s, df in ((1, due), (2, waiting), (3, rest))]
     if project is not None:
         outside = open_.filter(~in_family(F.col("project"), project)).groupBy("space_id").agg(F.count(F.lit(1)).alias("n"))
-        items.append(outside.select("space_id", F.lit(3).alias("section"), F.lit(SECTION_LIMITS["open"] + 1).alias("nth"), F.lit("outside").alias("key"), F.format_string("- … and %d tasks of other projects", "n").alias("line")))
+        items.append(outside.select("space_id", F.lit(3).alias("section"), F.lit(SECTION_LIMITS["open"] + 1).alias("nth"), F.lit("outside").alias("key"), F.format_string(OUTSIDE, "n").alias("line")))
     live = notes.filter("status = 'active' and deleted_h is null")
     for s, kind, hours in ((4, "decision", 24 * 30), (5, "preference", None), (8, "note", 24 * 7)):
         some = live.filter(F.col("kind") == kind) if hours is None else live.filter((F.col("kind") == kind) & (F.col("updated_h") >= now_h - hours))
         some = limited(some, [F.col("updated_h").desc(), F.col("id")], SECTION_LIMITS[kind])
-        why = F.when(F.col("why").isNotNull() & ~F.contains("text", F.col("why")), F.concat(F.lit(" (why: "), F.col("why"), F.lit(")"))).otherwise("")
-        items.append(some.select("space_id", F.lit(s).alias("section"), "nth", F.concat(F.lit("n"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("- "), clip(F.col("text")), why).alias("line")))
+        touched = at - F.make_dt_interval(hours=(F.lit(now_h) - F.col("updated_h")).cast("int"))
+        items.append(some.select("space_id", F.lit(s).alias("section"), "nth", F.concat(F.lit("n"), F.col("id").cast("string")).alias("key"), note_line(some, touched, project).alias("line")))
     rel = recent_relations(relations, notes, F.date_sub(work_day(at, start_hour), RELATION_DAYS).cast("timestamp"))
     rel = limited(rel, [F.col("created_at").desc(), F.col("id").desc()], SECTION_LIMITS["relation"])
     text = F.format_string("- %s → %s (%s)", "from_ref", "to_ref", "rel_type")
     items.append(rel.select("space_id", F.lit(6).alias("section"), "nth", F.concat_ws("|", F.lit("r"), "from_ref", "to_ref", "rel_type").alias("key"), text.alias("line")))
     epi = limited(episodes, [F.col("at_m").desc(), F.col("session_id"), F.col("seq")], SECTION_LIMITS["episode"])
-    items.append(epi.select("space_id", F.lit(7).alias("section"), "nth", F.concat_ws("|", F.lit("e"), F.col("session_id").cast("string"), F.col("seq").cast("string")).alias("key"), F.concat(F.lit("- "), F.col("summary")).alias("line")))
+    items.append(epi.select("space_id", F.lit(7).alias("section"), "nth", F.concat_ws("|", F.lit("e"), F.col("session_id").cast("string"), F.col("seq").cast("string")).alias("key"), F.concat(F.lit("- "), _day(F.lit(EPOCH).cast("timestamp") + F.make_dt_interval(mins=F.col("at_m").cast("int"))), F.lit(": "), "summary").alias("line")))
     all_ = reduce(DataFrame.unionByName, items)
     first = Window.partitionBy("space_id", "key").orderBy("section", "nth")
     return all_.withColumn("seen", F.row_number().over(first)).filter("seen = 1").select("space_id", "section", "nth", "line")
 
 
-def render_briefing(items: DataFrame, titles: dict[int, str], budget: int = 1500) -> DataFrame:
+def briefing_head(day: str, project: str | None = None, space: str | None = None) -> str:
+    """The first line: the day, and project and space where they are named (the
+    default space is not)."""
+    return "# Briefing — " + " — ".join([day, *([f"project {project}"] if project else []), *([f"space {space}"] if space else [])])
+
+
+def render_briefing(items: DataFrame, titles: dict[int, str] = TITLES, budget: int = 1500, head: str = "# Briefing") -> DataFrame:
     """space_id, text and n_cut: lines in order while they fit the token budget;
     one that does not fit is counted, and the next is still tried."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        text, cut, shown = "# Briefing\n\n", 0, set()
+        text, cut, shown = head + "\n\n", 0, set()
         for s, line in pdf.sort_values(["section", "nth"])[["section", "line"]].itertuples(index=False):
             more = ("" if s in shown else f"## {titles[s]}\n") + f"{line}\n"
             if (len(text + more) + 3) // 4 <= budget:
@@ -107,7 +156,7 @@ def render_briefing(items: DataFrame, titles: dict[int, str], budget: int = 1500
             else:
                 cut += 1
         if cut:
-            text += f"… ({cut} lines cut)\n"
+            text += CUT % cut
         return pd.DataFrame({"space_id": [pdf["space_id"].iloc[0]], "text": [text], "n_cut": [cut]})
 
     # the items of a space are bounded by the section limits
@@ -203,19 +252,27 @@ def session_groups(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return events.withColumn("fresh", fresh).withColumn("session_no", no).groupBy("user_id", "session_no").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"), F.count(F.lit(1)).alias("n_events"))
 
 
-def doctor_checks(notes: DataFrame, vectors: DataFrame, relations: DataFrame, jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
-    """name and n of what is not as it should be: live notes without a vector,
-    relations whose note is gone, dead jobs, jobs that hang for over 30 minutes,
-    and open tasks that are overdue."""
-    live = notes.filter("status = 'active' and deleted_h is null")
-    found = {
-        "notes_without_vector": live.join(vectors.select("id"), "id", "left_anti"),
-        "orphan_relations": relations.filter("source_note_id is not null").join(notes.select(F.col("id").alias("source_note_id")), "source_note_id", "left_anti"),
-        "dead_jobs": jobs.filter("state = 'dead'"),
-        "hanging_jobs": jobs.filter((F.col("state") == "running") & (F.col("updated_at") < now - F.expr("INTERVAL 30 MINUTES"))),
-        "overdue_tasks": tasks.filter((F.col("status") == "open") & (F.col("due_at") < F.to_date(now))),
-    }
-    return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in found.items()))
+def missing_media(media: DataFrame, files: DataFrame) -> DataFrame:
+    """Media (path) whose file is not among files (path). An empty path is an
+    original that was deleted on purpose, and misses nothing."""
+    return media.filter(F.coalesce("path", F.lit("")) != "").select("path").distinct().join(files.select("path").distinct(), "path", "left_anti")
+
+
+def doctor_checks(tables: dict[str, tuple[DataFrame, str]], media: DataFrame, files: DataFrame, version: int, latest: int) -> DataFrame:
+    """name, state (ok, warn or fail) and n of each check: that every table
+    (rows, key) can be read whole and has each key once, that the tables have the
+    latest schema version, and that the files of media are there. Missing files
+    are warnings, the others failures."""
+    found = []
+    for name, (rows, key) in tables.items():
+        per = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+        bad = per.agg(F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("c")).when(F.col("c") > 1, F.col("c") - 1).otherwise(0)), F.lit(0)).alias("n"))
+        found.append(bad.select(F.lit(f"keys of {name}").alias("name"), F.when(F.col("n") == 0, "ok").otherwise("fail").alias("state"), "n"))
+    spark = media.sparkSession
+    found.append(spark.range(1).select(F.lit("schema version").alias("name"), F.lit("ok" if version == latest else "fail").alias("state"), F.lit(abs(latest - version)).cast("long").alias("n")))
+    lost = missing_media(media, files).agg(F.count(F.lit(1)).alias("n"))
+    found.append(lost.select(F.lit("media files").alias("name"), F.when(F.col("n") == 0, "ok").otherwise("warn").alias("state"), "n"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_opening(notes: DataFrame, opening: Column) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gzip
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from loreforge.functions import dates, text, vectors
 from loreforge.operators import extraction, memory, reports, search, state, writing
 from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, query
 from loreforge.sources.adapters import cte, load
+from loreforge.sources.scratch import written
 from loreforge.streaming import capture
 
 
@@ -72,31 +73,80 @@ def task_update_patch(spark, sf):
     return state.update_tasks(t, u, F.lit("2024-01-15").cast(t.schema["updated_at"].dataType)).select("id", "status", "next_step", "due_at", "updated_at")
 
 
+def _sessions(spark, sf):
+    """Every conversation is a session of the space 1 + conv_id % 3. Its raws wait
+    in two windows or more, one for four turns; the model finds a note in every
+    turn of the assistant, a relation to each note and one to none, a task, and an
+    update of the task that has the number of the conversation. The first answer
+    of every fifth is broken. Notes of every third are there, soft-deleted."""
+    c = load(spark, sf, "conversations").filter("role = 'assistant'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    c = c.withColumn("t", text.trim_all(F.col("text"))).filter("t <> ''").withColumn("space", 1 + F.col("conv_id") % 3)
+    none = lambda *names: [F.lit(None).cast(dict(x.split(" ", 1) for x in extraction.SCHEMAS["notes"].split(", "))[n]).alias(n) for n in names]
+    at = F.lit("2024-01-01").cast("timestamp")
+    was = c.filter("conv_id % 3 = 0").groupBy("space", "t").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    notes = was.select(
+        "id", F.col("space").cast("long").alias("space_id"), F.lit("note").alias("kind"), F.col("t").alias("text"), F.array(F.lit("was")).alias("tags"), F.lit("tool:remember").alias("source"), *none("session_id"),
+        state.content_hash(F.col("space"), F.lit("note"), F.col("t")).alias("content_hash"), at.alias("created_at"), at.alias("updated_at"), at.alias("deleted_at"), F.lit("active").alias("status"), *none("project", *extraction.META),
+    )
+    tasks = load(spark, sf, "tasks").withColumns({"due_at": F.col("due_at").cast("string"), **{x: F.lit(None).cast("string") for x in ("why", "owner", "constraints")}}).select(*spark.createDataFrame([], extraction.SCHEMAS["tasks"]).columns)
+    relations = load(spark, sf, "relations")
+    raws = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), F.lit(None).cast("timestamp").alias("extracted_at"))
+    note = F.struct(F.lit("Note").alias("kind"), F.col("t").alias("text"), F.array(F.concat(F.lit("t"), (F.col("turn") % 2).cast("string"))).alias("tags"))
+    per = c.groupBy(F.col("conv_id").alias("session_id"), F.floor(F.col("turn") / 4).cast("int").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("turn", note.alias("n")))).alias("n"))
+    per = per.withColumn("n", F.transform("n", lambda x: x["n"]))
+    rel = F.transform(F.sequence(F.lit(0), F.size("n")), lambda i: F.struct(F.col("session_id").cast("string").alias("from"), F.col("ordinal").cast("string").alias("to"), i.cast("string").alias("type"), i.alias("note_index")))
+    task = F.array(F.struct(F.concat(F.lit("do "), (F.col("session_id") % 50).cast("string")).alias("title"), F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("next_step")))
+    upd = F.array(F.struct(F.col("session_id").alias("id"), F.lit("Done").alias("status")))
+    out = F.to_json(F.struct(F.col("n").alias("notes"), task.alias("tasks"), upd.alias("task_updates"), rel.alias("relations")))
+    broken = (F.col("session_id") % 5 == 0) & (F.col("ordinal") == 0)
+    outputs = per.select("session_id", "ordinal", F.when(broken, "{broken").otherwise(out).alias("output"))
+    sessions = outputs.select("session_id").distinct().select("session_id", (1 + F.col("session_id") % 3).cast("long").alias("space_id"), F.lit(None).cast("string").alias("project"))
+    vectors = spark.createDataFrame([], extraction.SCHEMAS["vectors"])
+    tables = {"notes": notes, "tasks": tasks, "relations": relations, "raws": raws, "vectors": vectors}
+    now = F.lit("2024-05-01").cast("timestamp")
+    shown = written(extraction.shown_tasks(tasks, sessions), "query-shown")
+    return extraction.changes(tables, sessions, outputs, shown, partial(memory.hash_embedder, dim=32), now)
+
+
+_TRIM = "regexp_replace(text, '^[\\s\\v]+|[\\s\\v]+$', '', 'g')"
+_ASKED = f"""c AS (SELECT conv_id, turn, {_TRIM} AS t, 1 + conv_id % 3 AS space, turn // 4 AS ordinal FROM (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL) WHERE {_TRIM} <> ''),
+broken AS (SELECT DISTINCT conv_id FROM c WHERE conv_id % 5 = 0 AND ordinal = 0),
+good AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, row_number() OVER (PARTITION BY conv_id, ordinal ORDER BY turn) - 1 AS i, row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) > 1 AS skip, sha256(concat(space, '|note|', t)) AS h FROM c WHERE conv_id NOT IN (FROM broken)),
+was AS (SELECT DISTINCT space, t FROM c WHERE conv_id % 3 = 0)"""
+
+
+@query(f"WITH {_ASKED} SELECT g.space::BIGINT AS space_id, h AS content_hash, w.t IS NULL AS fresh, array_to_string(list_sort(list_distinct(list(concat('t', turn % 2)) || CASE WHEN any_value(w.t) IS NULL THEN [] ELSE ['was'] END)), ',') AS tags FROM good g LEFT JOIN was w ON w.space = g.space AND w.t = g.t WHERE NOT skip GROUP BY g.space, h, w.t")
+def extraction_notes(spark, sf):
+    """The notes that extractions write and refresh."""
+    n = _sessions(spark, sf).puts["notes"]
+    return n.select("space_id", "content_hash", (F.col("created_at") == F.col("updated_at")).alias("fresh"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {_ASKED}, n AS (SELECT conv_id, ordinal, space, count(*) AS n FROM good GROUP BY ALL), r AS (SELECT conv_id, ordinal, space, unnest(range(n + 1)) AS i FROM n) SELECT r.space::BIGINT AS space_id, r.conv_id::VARCHAR AS from_ref, r.ordinal::VARCHAR AS to_ref, r.i::VARCHAR AS rel_type, CASE WHEN NOT skip THEN h END AS note FROM r LEFT JOIN good g ON g.conv_id = r.conv_id AND g.ordinal = r.ordinal AND g.i = r.i")
+def extraction_relations(spark, sf):
+    """Their relations, each with the note of its place."""
+    x = _sessions(spark, sf).puts
+    return x["relations"].join(x["notes"].select(F.col("id").alias("source_note_id"), F.col("content_hash").alias("note")), "source_note_id", "left").select("space_id", "from_ref", "to_ref", "rel_type", "note")
+
+
 @query(
-    """WITH o AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = 'assistant' AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
-g AS (SELECT conv_id, min(turn) AS turn, min(text) AS t FROM o GROUP BY conv_id)
-SELECT 'note' AS what, count(*) AS n FROM g WHERE conv_id % 5 <> 0 UNION ALL SELECT 'task', count(*) FROM g WHERE conv_id % 5 <> 0
-UNION ALL SELECT 'update', count(*) FROM g WHERE conv_id % 5 NOT IN (0, 1) UNION ALL SELECT 'bad_update', count(*) FROM g WHERE conv_id % 5 = 1 UNION ALL SELECT 'relation', count(*) FROM g WHERE conv_id % 5 <> 0
-UNION ALL SELECT 'broken', count(*) FROM g WHERE conv_id % 5 = 0"""
+    cte("tasks")
+    + f""", {_ASKED},
+s AS (SELECT DISTINCT conv_id, space FROM good),
+new AS (SELECT space, concat('do ', conv_id % 50) AS title, min(conv_id) AS first FROM s GROUP BY ALL),
+shown AS (SELECT space_id, id FROM (SELECT *, row_number() OVER (PARTITION BY space_id ORDER BY CASE WHEN coalesce(project, '') = '' THEN 0 ELSE 1 END, updated_at DESC, id) AS nth FROM tasks WHERE status = 'open') WHERE nth <= 60)
+SELECT (SELECT max(id) FROM tasks) + row_number() OVER (ORDER BY first) AS id, space::BIGINT AS space_id, title, 'open' AS status, concat('s', first) AS next_step FROM new
+UNION ALL SELECT t.id, t.space_id, title, 'done', next_step FROM tasks t JOIN shown USING (id) JOIN s ON conv_id = t.id AND s.space = t.space_id"""
 )
-def extraction_apply(spark, sf):
-    """Outputs with a note, a task, an update and a relation per conversation; every fifth is broken, and every fifth names a task that is not open."""
-    c = load(spark, sf, "conversations").filter("role = 'assistant'").filter(F.trim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
-    g = c.groupBy("conv_id").agg(F.min("text").alias("t"))
-    i = F.col("conv_id")
-    out = F.to_json(
-        F.struct(
-            F.array(F.struct(F.lit("Fact").alias("kind"), F.col("t").alias("text"))).alias("notes"),
-            F.array(F.struct(F.concat(F.lit("do "), i.cast("string")).alias("title"))).alias("tasks"),
-            F.array(F.struct(F.when(i % 5 == 1, -1).otherwise(1).alias("id"), F.lit("done").alias("status"))).alias("task_updates"),
-            F.array(F.struct(F.lit("a").alias("from"), F.lit("b").alias("to"), F.lit("r").alias("type"), F.lit(0).alias("note_index"))).alias("relations"),
-        )
-    )
-    outputs = g.select(i.alias("session_id"), F.lit(1).cast("long").alias("space_id"), F.lit(None).cast("string").alias("project"), F.when(i % 5 == 0, F.lit("{broken")).otherwise(out).alias("output"))
-    open_ids = spark.range(1, 2)
-    x = extraction.extracted(outputs, open_ids)
-    parts = {"note": x.notes, "task": x.tasks, "update": x.updates, "bad_update": x.bad_updates, "relation": x.relations, "broken": x.broken}
-    return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, df in parts.items()))
+def extraction_tasks(spark, sf):
+    """The tasks that they make and end; only tasks that a session was shown end."""
+    return _sessions(spark, sf).puts["tasks"].select("id", "space_id", "title", "status", "next_step")
+
+
+@query(f"WITH {_ASKED} SELECT conv_id AS session_id, count(*) AS n FROM conversations WHERE conv_id IN (SELECT conv_id FROM good) GROUP BY conv_id")
+def extraction_raws(spark, sf):
+    """The raws that are marked: those of sessions without a broken answer."""
+    return _sessions(spark, sf).puts["raws"].groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -253,15 +303,21 @@ def session_windows(spark, sf):
 
 
 @query(
-    cte("notes", "relations", "jobs", "tasks")
-    + f""" SELECT 'notes_without_vector' AS name, count(*) AS n FROM notes WHERE status = 'active' AND deleted_h IS NULL AND id NOT IN (SELECT vec_id FROM embeddings)
-UNION ALL SELECT 'orphan_relations', count(*) FROM relations WHERE source_note_id IS NOT NULL AND source_note_id NOT IN (SELECT id FROM notes)
-UNION ALL SELECT 'dead_jobs', count(*) FROM jobs WHERE state = 'dead' UNION ALL SELECT 'hanging_jobs', count(*) FROM jobs WHERE state = 'running' AND updated_at < {_AT} - INTERVAL 30 MINUTE
-UNION ALL SELECT 'overdue_tasks', count(*) FROM tasks WHERE status = 'open' AND due_at < DATE '2024-01-15'"""
+    """WITH m AS (SELECT DISTINCT CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('/media/', source, '/', doc_id % 700) END AS path FROM documents),
+f AS (SELECT concat('/media/', source, '/', doc_id) AS path FROM documents WHERE doc_id % 11 <> 0)
+SELECT 'keys of documents' AS name, CASE WHEN count(*) = count(DISTINCT doc_id) THEN 'ok' ELSE 'fail' END AS state, (count(*) - count(DISTINCT doc_id))::BIGINT AS n FROM documents
+UNION ALL SELECT 'keys of conversations', CASE WHEN count(*) = count(DISTINCT conv_id) THEN 'ok' ELSE 'fail' END, (count(*) - count(DISTINCT conv_id))::BIGINT FROM conversations
+UNION ALL SELECT 'schema version', 'fail', 1::BIGINT
+UNION ALL SELECT 'media files', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END, count(*) FROM m WHERE path <> '' AND path NOT IN (SELECT path FROM f)"""
 )
 def doctor_checks(spark, sf):
-    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return reports.doctor_checks(load(spark, sf, "notes"), v, load(spark, sf, "relations"), load(spark, sf, "jobs"), load(spark, sf, "tasks"), F.lit("2024-01-15").cast("timestamp"))
+    """Turns are no key of conversations, and one version is missing; media lie under the sources of documents."""
+    d = load(spark, sf, "documents")
+    path = lambda i: F.concat(F.lit("/media/"), "source", F.lit("/"), i.cast("string"))
+    media = d.select(F.when(F.col("doc_id") % 9 == 0, "").otherwise(path(F.col("doc_id") % 700)).alias("path"))
+    files = d.filter("doc_id % 11 <> 0").select(path(F.col("doc_id")).alias("path"))
+    return reports.doctor_checks({"documents": (d, "doc_id"), "conversations": (load(spark, sf, "conversations"), "conv_id")}, media, files, 4, 5)
+
 
 
 @query("SELECT substr(c_name, 1, 14) AS prefix, max(c_mktsegment) AS value, count(*) AS n FROM customer WHERE c_name LIKE 'Customer#00000%' GROUP BY 1 HAVING prefix = 'Customer#00000'")

@@ -581,13 +581,14 @@ def _items(spark, sf):
 
 
 _TOP = "SELECT space_id, {s} AS section, row_number() OVER (PARTITION BY space_id ORDER BY {o}) AS nth, {k} AS key, {l} AS line FROM {t} QUALIFY nth <= {n}"
-_CLIP = "CASE WHEN length(c) <= 120 THEN c ELSE concat(left(c, 120), '…') END"
+_TAG = "CASE WHEN coalesce(project, '') IN ('', 'p1') THEN '' ELSE concat(' [', project, ']') END"
+_TASK = f"concat('- #', id, ' (', CASE WHEN due_at < DATE '{BRIEF_DAY}' THEN concat('QUÁ HẠN ', strftime(due_at, '%Y-%m-%d')) WHEN due_at IS NOT NULL THEN concat('hạn ', strftime(due_at, '%Y-%m-%d')) ELSE concat('cập nhật ', strftime(updated_at, '%Y-%m-%d')) END, CASE WHEN updated_at < TIMESTAMP '{BRIEF_AT}' - INTERVAL 14 DAY THEN ', stale' ELSE '' END, '): ', title, {_TAG}, CASE WHEN waiting_on <> '' THEN concat(' — chờ: ', waiting_on) ELSE '' END, CASE WHEN next_step <> '' THEN concat(' — bước kế: ', next_step) ELSE '' END)"
 
 
 def _note_section(s: int, kind: str, n: int, hours: int | None) -> str:
     since = "" if hours is None else f" AND updated_h >= {NOW_H - hours}"
-    src = f"(SELECT *, trim(regexp_replace(text, '[\\s\\v]+', ' ', 'g')) AS c FROM notes WHERE status = 'active' AND deleted_h IS NULL AND kind = '{kind}'{since})"
-    return _fill(_TOP, s=s, o="updated_h DESC, id", k="concat('n', id)", l=f"concat('- ', {_CLIP}, CASE WHEN why IS NOT NULL AND NOT contains(text, why) THEN concat(' (why: ', why, ')') ELSE '' END)", t=src, n=n)
+    src = f"(SELECT * FROM notes WHERE status = 'active' AND deleted_h IS NULL AND kind = '{kind}'{since})"
+    return _fill(_TOP, s=s, o="updated_h DESC, id", k="concat('n', id)", l=f"concat('- ', strftime(TIMESTAMP '{BRIEF_AT}' - to_hours({NOW_H} - updated_h), '%Y-%m-%d'), ': ', text, CASE WHEN coalesce(why, '') <> '' AND NOT contains(text, why) THEN concat(' (vì: ', why, ')') ELSE '' END, {_TAG})", t=src, n=n)
 
 
 @query(
@@ -596,14 +597,14 @@ def _note_section(s: int, kind: str, n: int, hours: int | None) -> str:
     + " UNION ALL ".join(
         "(" + x + ")"
         for x in [
-            _fill(_TOP, s=1, o="due_at, id", k="concat('t', id)", l="concat('- ', title)", t=f"(SELECT * FROM tasks WHERE status = 'open' AND due_at <= DATE '{BRIEF_DAY}' + 3)", n=10),
-            _fill(_TOP, s=2, o="updated_at, id", k="concat('t', id)", l="concat('- ', title)", t="(SELECT * FROM tasks WHERE status = 'open' AND waiting_on IS NOT NULL)", n=10),
-            _fill(_TOP, s=3, o="CASE WHEN coalesce(project, '') = 'p1' THEN 0 ELSE 1 END, updated_at DESC, id", k="concat('t', id)", l="concat('- ', title)", t=f"(SELECT * FROM tasks WHERE status = 'open' AND {_FAMILY})", n=20),
-            f"SELECT space_id, 3, 21, 'outside', concat('- … and ', count(*), ' tasks of other projects') FROM tasks WHERE status = 'open' AND NOT {_FAMILY} GROUP BY space_id",
+            _fill(_TOP, s=1, o="due_at, id", k="concat('t', id)", l=_TASK, t=f"(SELECT * FROM tasks WHERE status = 'open' AND due_at <= DATE '{BRIEF_DAY}' + 3)", n=10),
+            _fill(_TOP, s=2, o="updated_at, id", k="concat('t', id)", l=_TASK, t="(SELECT * FROM tasks WHERE status = 'open' AND waiting_on IS NOT NULL)", n=10),
+            _fill(_TOP, s=3, o="CASE WHEN coalesce(project, '') = 'p1' THEN 0 ELSE 1 END, updated_at DESC, id", k="concat('t', id)", l=_TASK, t=f"(SELECT * FROM tasks WHERE status = 'open' AND {_FAMILY})", n=20),
+            f"SELECT space_id, 3, 21, 'outside', concat('- … còn ', count(*), ' việc ngoài project hiện tại (task_list để xem)') FROM tasks WHERE status = 'open' AND NOT {_FAMILY} GROUP BY space_id",
             _note_section(4, "decision", 12, 24 * 30),
             _note_section(5, "preference", 12, None),
             _fill(_TOP, s=6, o="created_at DESC, id DESC", k="concat_ws('|', 'r', from_ref, to_ref, rel_type)", l="concat('- ', from_ref, ' → ', to_ref, ' (', rel_type, ')')", t=f"(SELECT * FROM relations WHERE created_at >= DATE '{BRIEF_DAY}' - 30 AND (source_note_id IS NULL OR source_note_id NOT IN (SELECT id FROM notes WHERE deleted_h IS NOT NULL)))", n=10),
-            _fill(_TOP, s=7, o="at_m DESC, session_id, seq", k="concat_ws('|', 'e', session_id, seq)", l="concat('- ', summary)", t="episodes", n=5),
+            _fill(_TOP, s=7, o="at_m DESC, session_id, seq", k="concat_ws('|', 'e', session_id, seq)", l="concat('- ', strftime(TIMESTAMP '1998-01-01' + to_minutes(at_m), '%Y-%m-%d'), ': ', summary)", t="episodes", n=5),
             _note_section(8, "note", 10, 24 * 7),
         ]
     )
@@ -615,7 +616,7 @@ def briefing_sections(spark, sf):
 
 @query()
 def briefing_render(spark, sf):
-    return reports.render_briefing(_items(spark, sf), dict(enumerate(["Due", "Waiting", "Open", "Decisions", "Preferences", "Relations", "Sessions", "Notes"], 1)))
+    return reports.render_briefing(_items(spark, sf), reports.TITLES)
 
 
 @query(cte("tasks") + " SELECT space_id, id, concat('- [', CASE status WHEN 'done' THEN 'x' WHEN 'dropped' THEN '-' ELSE ' ' END, '] ', title, CASE WHEN next_step IS NOT NULL THEN concat(' — next: ', next_step) ELSE '' END) AS line FROM tasks")

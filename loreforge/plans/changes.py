@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from loreforge.functions import dates, text, vectors
 from loreforge.operators import extraction, memory, reports, search, state, writing
 from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, query
+from loreforge.sources import documents
 from loreforge.sources.adapters import cte, load
-from loreforge.sources.scratch import written
+from loreforge.sources.scratch import spread, written
 from loreforge.streaming import capture
 
 
@@ -344,3 +345,49 @@ def raws_pending(spark, sf):
     """The first two turns of each conversation are extracted; what waits."""
     c = load(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("seq"), F.octet_length("text").cast("long").alias("bytes"), F.lit(None).cast("timestamp").alias("extracted_at"))
     return memory.pending_raws(memory.mark_extracted(c, c.filter("seq <= 2"), F.lit("2024-01-15").cast("timestamp")))
+
+
+def _packed(batches):
+    """Office files of texts: a slide deck, a document or a book of their lines."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    for pdf in batches:
+        out = []
+        for path, lines in zip(pdf["path"], pdf["lines"], strict=True):
+            lines = [escape(x) for x in lines]
+            if path.endswith("pptx"):
+                files = {f"ppt/slides/slide{i}.xml": f'<sld xmlns:a="urn:a"><a:p><a:r><a:t>{x}</a:t></a:r></a:p></sld>' for i, x in enumerate(lines, 1)}
+            elif path.endswith("docx"):
+                files = {"word/document.xml": '<w:document xmlns:w="urn:w">' + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines) + "</w:document>"}
+            else:
+                items = "".join(f'<item id="c{i}" href="c{i}.xhtml"/>' for i in range(len(lines)))
+                order = "".join(f'<itemref idref="c{i}"/>' for i in range(len(lines)))
+                files = {"META-INF/container.xml": '<container><rootfile full-path="b/p.opf"/></container>', "b/p.opf": f"<package><manifest>{items}</manifest><spine>{order}</spine></package>"}
+                files |= {f"b/c{i}.xhtml": f"<html><body><p>{x}</p></body></html>" for i, x in enumerate(lines)}
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for name, body in files.items():
+                    z.writestr(name, body)
+            out.append(held.getvalue())
+        yield pd.DataFrame({"path": pdf["path"], "content": out})
+
+
+_LINES = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E\\n]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_LINES} AS l FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS page, unnest(l) AS text FROM d WHERE doc_id % 3 <> 1)
+SELECT concat(doc_id, CASE doc_id % 3 WHEN 0 THEN '.pptx' ELSE '.epub' END) AS path, page::INTEGER AS page, concat(CASE doc_id % 3 WHEN 0 THEN 'slide ' ELSE 'chapter ' END, page) AS label, md5(text) AS text, NULL AS error FROM p
+UNION ALL SELECT concat(doc_id, '.docx'), 1, NULL, md5(array_to_string(l, chr(10) || chr(10))), NULL FROM d WHERE doc_id % 3 = 1 AND len(l) > 0
+UNION ALL SELECT concat(doc_id, CASE doc_id % 3 WHEN 0 THEN '.pptx' WHEN 1 THEN '.docx' ELSE '.epub' END), 0, NULL, NULL, 'empty' FROM d WHERE len(l) = 0"""
+)
+def document_pages(spark, sf):
+    """All texts as slide decks, documents and books, read again page by page."""
+    d = load(spark, sf, "documents")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", ""), "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".pptx", ".docx", ".epub"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = spread(d.select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), lines.alias("lines"))).mapInPandas(_packed, "path string, content binary")
+    return documents.pages_of(files).select("path", "page", "label", F.md5("text").alias("text"), "error")

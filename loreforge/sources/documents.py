@@ -99,7 +99,12 @@ def _local(e: ElementTree.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def docx_text(data: bytes) -> str:
+#: A part of a document: its label (a slide, a chapter; None: the whole) and text.
+Part = tuple[str | None, str]
+
+
+def docx_parts(data: bytes) -> Iterator[Part]:
+    """One part; headings open sections."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for p in ElementTree.fromstring(_entry(z, "word/document.xml")).iter():
@@ -109,22 +114,21 @@ def docx_text(data: bytes) -> str:
             style = next((v for x in p.iter() if _local(x) == "pStyle" for k, v in x.attrib.items() if k.endswith("val")), "")
             if text.strip():
                 out += [marker(text)] * style.startswith(("Heading", "Title")) + [text]
-    return "\n\n".join(out)
+    yield None, "\n\n".join(out)
 
 
-def pptx_text(data: bytes) -> str:
-    out = []
+def pptx_parts(data: bytes) -> Iterator[Part]:
+    """A part for each slide with text, in their order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
         for no, name in slides:
             paras = ["".join(x.text or "" for x in p.iter() if _local(x) == "t") for p in ElementTree.fromstring(_entry(z, name)).iter() if _local(p) == "p"]
             if text := "\n".join(x for x in paras if x.strip()):
-                out += [marker(f"slide {no}"), text]
-    return "\n\n".join(out)
+                yield f"slide {no}", text
 
 
-def epub_text(data: bytes) -> str:
-    out = []
+def epub_parts(data: bytes) -> Iterator[Part]:
+    """A part for each chapter with text, in reading order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = next(e.attrib["full-path"] for e in ElementTree.fromstring(_entry(z, "META-INF/container.xml")).iter() if _local(e) == "rootfile")
         opf = list(ElementTree.fromstring(_entry(z, root)).iter())
@@ -132,7 +136,14 @@ def epub_text(data: bytes) -> str:
         for no, ref in enumerate((e.attrib["idref"] for e in opf if _local(e) == "itemref"), 1):
             name = str(PurePosixPath(root).parent / items.get(ref, ""))
             if name in z.namelist() and (text := html_text(_entry(z, name).decode("utf-8", "replace"))):
-                out += ([] if text.startswith("⟦") else [marker(f"chapter {no}")]) + [text]
+                yield f"chapter {no}", text
+
+
+def joined(parts: Iterator[Part]) -> str:
+    """Parts as one text; a labelled part without a section of its own opens one."""
+    out = []
+    for label, text in parts:
+        out += [marker(label)] * (label is not None and not text.startswith("⟦")) + [text]
     return "\n\n".join(out)
 
 
@@ -142,7 +153,8 @@ def plain_text(data: bytes) -> str:
     return data.decode("utf-8-sig")
 
 
-READERS = {"docx": docx_text, "pptx": pptx_text, "epub": epub_text}
+PARTS = {"docx": docx_parts, "pptx": pptx_parts, "epub": epub_parts}
+READERS = {ext: (lambda b, of=of: joined(of(b))) for ext, of in PARTS.items()}
 READERS |= dict.fromkeys(("html", "htm", "xhtml"), lambda b: html_text(b.decode("utf-8", "replace")))
 READERS |= dict.fromkeys(("md", "markdown", "mdx"), lambda b: markdown_text(plain_text(b)))
 # Formats that are refused, not read as plain text.
@@ -161,6 +173,19 @@ def read_document(name: str, data: bytes) -> tuple[str | None, str | None]:
     return (text, None) if text else (None, "empty")
 
 
+def read_parts(name: str, data: bytes) -> tuple[list[Part], str | None]:
+    """(parts, error) of one file: pages of the formats that have them, else one."""
+    ext = PurePosixPath(name).suffix[1:].lower()
+    if ext not in PARTS:
+        text, error = read_document(name, data)
+        return ([(None, text)] if text else []), error
+    try:
+        parts = [(label, t) for label, text in PARTS[ext](data) if (t := text.replace("\r\n", "\n").strip())]
+    except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+        return [], f"{type(e).__name__}: {e}"[:300]
+    return parts, None if parts else "empty"
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [read_document(p, bytes(b)) for p, b in zip(pdf["path"], pdf["content"], strict=True)]
@@ -173,6 +198,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(_read, "path string, text string, error string")
 
 
+def pages_of(files: DataFrame) -> DataFrame:
+    """path, page (from 1), label, text and error of files (path, content) that a
+    table holds; a file that cannot be read is a row with page 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                parts, error = read_parts(path or "", bytes(data or b""))
+                rows += [(path, 0, None, None, error)] * (error is not None) + [(path, n, label, text, None) for n, (label, text) in enumerate(parts, 1)]
+            yield pd.DataFrame(rows, columns=["path", "page", "label", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, label string, text string, error string")
+
+
 def parse_html(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """The id and html_text of each page."""
 

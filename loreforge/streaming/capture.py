@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,22 +13,43 @@ from loreforge.operators.reports import usage_rollup
 from loreforge.operators.state import next_seq
 
 
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of deltas sorted by session and expected offset those that go on from the
+    stored end `at`, or from one another."""
+    session, end = None, None
+    for batch in batches:
+        keep = []
+        columns = (batch.column(c).to_pylist() for c in ("session_id", "expect_offset", "new_offset", "at"))
+        for i, (s, expect, new, at) in enumerate(zip(*columns, strict=True)):
+            if s != session:
+                session, end = s, at
+            if expect == end:
+                keep.append(i)
+                end = new
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
 def accept_deltas(raws: DataFrame, deltas: DataFrame) -> DataFrame:
     """Of a batch of transcript deltas (session_id, expect_offset, new_offset,
-    content) those whose expected offset is where the session's stored raws end,
-    or where an accepted delta of the batch ends; others are dropped silently,
-    so a replayed batch adds nothing. Equal deltas count once."""
-    ends = raws.groupBy("session_id").agg(F.max("new_offset").alias("at"))
-    one = deltas.groupBy("session_id", "expect_offset").agg(F.max(F.struct("new_offset", "content")).alias("d")).select("session_id", "expect_offset", "d.*").filter("new_offset > expect_offset")
-    rows = one.join(ends, "session_id", "left").withColumn("at", F.coalesce("at", F.lit(0)))
-    # a session's deltas of one batch are few: follow them from the stored end
-    chain = rows.groupBy("session_id").agg(F.first("at").alias("at"), F.array_sort(F.collect_list(F.struct("expect_offset", "new_offset", "content"))).alias("d"))
-    took = F.aggregate(
-        "d",
-        F.struct(F.col("at").alias("at"), F.array().cast("array<struct<expect_offset:bigint,new_offset:bigint,content:string>>").alias("ok")),
-        lambda acc, d: F.when(d["expect_offset"] == acc["at"], F.struct(d["new_offset"].alias("at"), F.array_append(acc["ok"], d).alias("ok"))).otherwise(acc),
-    )
-    return chain.select("session_id", F.explode(took["ok"]).alias("d")).select("session_id", "d.*")
+    content) those whose expected offset is where the session's last stored raw
+    ends, or where an accepted delta of the batch ends; others are dropped
+    silently, so a replayed batch adds nothing. Of deltas that expect one offset
+    the longest counts, once. A delta that ends before what it expects is of a
+    file that began anew; nothing of the batch can follow it. An expected offset
+    of -1 is not checked: such a delta is taken as it is and moves no offset.
+
+    The chain is followed over offsets alone, in a sorted stream per session;
+    contents are joined to what was accepted."""
+    kind = dict(deltas.dtypes)["session_id"]
+    ends = raws.filter("expect_offset >= 0").groupBy("session_id").agg(F.max_by("new_offset", "seq").alias("at"))
+    told = deltas.select("session_id", "expect_offset", "new_offset", "content", F.sha2("content", 256).alias("h"))
+    one = told.filter("expect_offset >= 0 and new_offset <> expect_offset").groupBy("session_id", "expect_offset").agg(F.max(F.struct("new_offset", "h")).alias("d")).select("session_id", "expect_offset", "d.*")
+    rows = one.join(ends, "session_id", "left").withColumn("at", F.coalesce("at", F.lit(0)).cast("long"))
+    dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "expect_offset")
+    took = dealt.mapInArrow(_follow, f"session_id {kind}, expect_offset long, new_offset long, h string, at long").select("session_id", "expect_offset", "new_offset", "h")
+    found = told.dropDuplicates(["session_id", "expect_offset", "new_offset", "h"]).join(took, ["session_id", "expect_offset", "new_offset", "h"], "left_semi")
+    loose = told.filter("expect_offset = -1")
+    return found.unionByName(loose).select("session_id", "expect_offset", "new_offset", "content")
 
 
 class Raws:
@@ -59,9 +81,23 @@ class Raws:
         return self.spark.read.schema(self.SCHEMA).parquet(path)
 
 
-def extract_jobs(new: DataFrame) -> DataFrame:
-    """type and payload of the extraction jobs that new raws ask for: one per session."""
-    return new.select(F.lit("extract").alias("type"), F.to_json(F.struct("session_id")).alias("payload")).distinct()
+def extract_jobs(new: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """type and payload of the extraction jobs that new raws ask for: one per
+    session, none where jobs (type, payload, state) has one that is queued or
+    failed, which will take these raws too. One that runs may not have seen them."""
+    wanted = new.select(F.lit("extract").alias("type"), F.to_json(F.struct("session_id")).alias("payload")).distinct()
+    if jobs is None:
+        return wanted
+    return wanted.join(jobs.filter(F.col("state").isin("queued", "failed")).select("type", "payload"), ["type", "payload"], "left_anti")
+
+
+def expedite(jobs: DataFrame, ended: DataFrame, now: Column) -> DataFrame:
+    """The job table after sessions (session_id) ended: their queued extraction is
+    due now; a failed one keeps its back-off."""
+    mine = ended.select(F.lit("extract").alias("type"), F.to_json(F.struct("session_id")).alias("payload"), F.lit(True).alias("hit")).distinct()
+    rows = jobs.join(mine, ["type", "payload"], "left")
+    due = F.coalesce("hit", F.lit(False)) & (F.col("state") == "queued") & (F.col("run_after") > now)
+    return rows.withColumns({"run_after": F.when(due, now).otherwise(F.col("run_after")), "updated_at": F.when(due, now).otherwise(F.col("updated_at"))}).select(*jobs.columns)
 
 
 def capture(stream: DataFrame, raws: Raws, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
@@ -87,6 +123,21 @@ def replay_spool(raws: DataFrame, spool: DataFrame) -> DataFrame:
     return new.select("session_id", F.col("seq").cast("int").alias("seq"), "expect_offset", "new_offset", "content")
 
 
+def spool_files(files: DataFrame) -> DataFrame:
+    """session_id, expect_offset, new_offset and content (gzip bytes) of spooled
+    files (path, content), named `<session>~<expect>~<new>~<time>.gz`, or, in the
+    old way, `<session>-<time>.gz`, which know no offsets (-1 and 0). Hidden files
+    and other names are none."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    parts = F.split(F.regexp_replace(name, r"\.gz$", ""), "~")
+    whole = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("long")
+    new = (F.size(parts) == 4) & (parts[0] != "") & whole(2).isNotNull() & whole(3).isNotNull()
+    old = (F.size(parts) != 4) & name.rlike(r"^.+-[^-]*\.gz$")
+    rows = files.filter(name.endswith(".gz") & ~name.startswith(".") & (new | old))
+    session = F.when(F.size(parts) == 4, parts[0]).otherwise(F.regexp_extract(name, r"^(.+)-[^-]*\.gz$", 1))
+    return rows.select(session.alias("session_id"), F.when(F.size(parts) == 4, whole(2)).otherwise(F.lit(-1)).cast("long").alias("expect_offset"), F.when(F.size(parts) == 4, whole(3)).otherwise(F.lit(0)).cast("long").alias("new_offset"), "content")
+
+
 def hourly_usage(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
     """usage_rollup by hour on a stream of calls (ts), late ones within `late`."""
     rows = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if calls.isStreaming else calls

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions.dates import work_day
+from loreforge.operators.ranges import packed
 from loreforge.sources.scratch import written
 
 STALE_DAYS, SOON_DAYS, RELATION_DAYS = 14, 3, 30
@@ -205,37 +206,17 @@ def sampled_calls(calls: DataFrame, every: int = 50, bucket: str = "hour") -> Da
     return numbered.filter((F.col("nth") == 1) | (F.col("nth") % every == 0))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Numbers the batches of rows that come sorted by group and id; at most one
-    batch of rows is held."""
-    group, held, batch_no, waiting = None, 0, 0, []
-    for batch in batches:
-        out = []
-        cols = [batch.column(c).to_pylist() for c in ("space_id", "proj", "kind", "id", "n")]
-        for s, p, k, i, n in zip(*cols, strict=True):
-            if (s, p, k) != group or (held and held + n + 1 > most):
-                if len(waiting) > 1:
-                    out += waiting
-                batch_no = 0 if (s, p, k) != group else batch_no + 1
-                group, held, waiting = (s, p, k), 0, []
-            held += n + 1
-            waiting.append((s, p, k, i, batch_no))
-        schema = pa.schema([*(batch.schema.field(c) for c in ("space_id", "proj", "kind", "id")), pa.field("batch", pa.int64())])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-    if len(waiting) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
-
-
 def consolidation_batches(notes: DataFrame, most: int = 20_000, line_chars: int = 200) -> DataFrame:
     """id and batch of the knowledge notes to consolidate together: by space,
     project and kind, in order of id, lines packed up to `most` characters;
-    batches of one note are left out. Notes are streamed in order; only one batch
-    is held, so a group of any size passes."""
+    batches of one note are left out. A group's notes are packed in ranges, by
+    several tasks where it has many."""
     rows = notes.filter("status = 'active' and deleted_h is null").select("space_id", F.coalesce("project", F.lit("")).alias("proj"), "kind", "id", (F.least(F.length("text"), F.lit(line_chars)) + 8).cast("int").alias("n"))
-    dealt = rows.repartition("space_id", "proj", "kind").sortWithinPartitions("space_id", "proj", "kind", "id")
-    kinds = dict(rows.dtypes)
-    return dealt.mapInArrow(lambda b: _packed(b, most), f"space_id {kinds['space_id']}, proj string, kind string, id {kinds['id']}, batch long")
+    group = ["space_id", "proj", "kind"]
+    batches = written(packed(rows, group, "id", "n", most).select(*group, "id", "batch"), "consolidation")
+    several = batches.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    # batches are numbered as if those of one note were there
+    return batches.join(several, [*group, "batch"], "left_semi").select(*group, "id", "batch")
 
 
 def merge_guard(batch_sizes: DataFrame, removed: Column) -> DataFrame:

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreforge.functions import dates, text, vectors
+from loreforge.functions import dates, sql, text, vectors
 from loreforge.operators import extraction, memory, reports, search, state, writing
-from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, query
+from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, _tokens, query
 from loreforge.sources import documents
 from loreforge.sources.adapters import cte, load
 from loreforge.sources.scratch import spread, written
@@ -391,3 +391,19 @@ def document_pages(spark, sf):
     ext = F.element_at(F.array(*(F.lit(x) for x in (".pptx", ".docx", ".epub"))), (F.col("doc_id") % 3 + 1).cast("int"))
     files = spread(d.select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), lines.alias("lines"))).mapInPandas(_packed, "path string, content binary")
     return documents.pages_of(files).select("path", "page", "label", F.md5("text").alias("text"), "error")
+
+
+@query(f"SELECT doc_id AS id, ((length(text) + 3) // 4)::BIGINT AS tokens, len({_tokens('text')})::BIGINT AS words, {_fill(_NORM_SQL, c='left(text, 80)')} AS title FROM documents")
+def sql_functions(spark, sf):
+    """A query in SQL alone, over the registered functions."""
+    sql.register(spark)
+    load(spark, sf, "documents").createOrReplaceTempView("lf_documents")
+    return spark.sql("SELECT doc_id AS id, lf_est_tokens(text) AS tokens, CAST(size(lf_fts_tokens(text)) AS BIGINT) AS words, lf_norm_title(left(text, 80)) AS title FROM lf_documents")
+
+
+@query()
+def sql_chunks(spark, sf):
+    """The chunks of all texts by the table function; chunk_documents has the same by the operator."""
+    sql.register(spark)
+    load(spark, sf, "documents").createOrReplaceTempView("lf_documents")
+    return spark.sql("SELECT doc_id AS id, c.ordinal, c.token_count, md5(c.text) AS text FROM lf_documents, LATERAL lf_chunk_text(text) c")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loreforge.functions import dates, sql, text, vectors
 from loreforge.operators import extraction, memory, reports, search, state, writing
 from loreforge.plans.registry import _AT, _HASH, _NORM_SQL, _fill, _sql_redact, _tokens, query
-from loreforge.sources import documents
+from loreforge.sources import documents, migrations
 from loreforge.sources.adapters import cte, load
 from loreforge.sources.scratch import spread, written
 from loreforge.streaming import capture
@@ -407,3 +407,15 @@ def sql_chunks(spark, sf):
     sql.register(spark)
     load(spark, sf, "documents").createOrReplaceTempView("lf_documents")
     return spark.sql("SELECT doc_id AS id, c.ordinal, c.token_count, md5(c.text) AS text FROM lf_documents, LATERAL lf_chunk_text(text) c")
+
+
+@query(
+    cte("jobs")
+    + """, n AS (SELECT DISTINCT k AS id FROM jobs WHERE state IN ('queued', 'failed', 'running') AND type = 'click')
+SELECT event_id AS id, CASE WHEN event_id IN (SELECT id FROM n) THEN NULL ELSE ts END AS extracted_at FROM events"""
+)
+def migrate_extracted_raws(spark, sf):
+    """The step that marks old raws: jobs of one type name raws in their payloads."""
+    jobs = load(spark, sf, "jobs").select(F.when(F.col("type") == "click", "extract_session").otherwise(F.col("type")).alias("type"), "state", F.to_json(F.struct(F.col("k").alias("raw_id"))).alias("payload"))
+    raws = load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    return migrations.extracted_raws({"jobs": jobs, "raws": raws})["raws"].select("id", "extracted_at")

@@ -29,7 +29,7 @@ def test_near_dup_batches(spark, small):
 
 
 def test_briefing_render(spark, small):
-    titles = dict(enumerate(["Due", "Waiting", "Open", "Decisions", "Preferences", "Relations", "Sessions", "Notes"], 1))
+    titles = dict(enumerate(["Quá hạn / sắp đến hạn", "Đang chờ người khác", "Việc đang mở", "Quyết định gần đây", "Sở thích", "Liên quan", "Phiên gần đây", "Notes mới"], 1))
     spaces = defaultdict(list)
     for r in QUERIES["briefing_sections"](spark, small).collect():
         spaces[r.space_id].append((r.section, r.nth, r.line))
@@ -42,7 +42,7 @@ def test_briefing_render(spark, small):
                 cut += 1
                 continue
             text, last = text + more_text, section
-        want[s] = (text + (f"… ({cut} lines cut)\n" if cut else ""), cut)
+        want[s] = (text + (f"… (còn {cut} mục bị cắt do ngân sách)\n" if cut else ""), cut)
     assert {r.space_id: (r.text, r.n_cut) for r in QUERIES["briefing_render"](spark, small).collect()} == want
 
 

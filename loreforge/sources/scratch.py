@@ -44,3 +44,16 @@ def spread(df: DataFrame) -> DataFrame:
     file of one row group is one task); larger inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def sweep(spark: SparkSession, hours: float = 24) -> int:
+    """Deletes scratch tables of over `hours` ago; returns how many. Stored text
+    indexes (text-...) stay: they are found again by name. To be run where no
+    query of that age is still going on."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loreforge")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = spark._jvm.System.currentTimeMillis()
+    old = [f.getPath() for f in (fs.listStatus(root) if fs.exists(root) else []) if not f.getPath().getName().startswith("text-") and f.getModificationTime() < now - hours * 3_600_000]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loreforge.functions.text import embed_text, redact, trim_all
+from loreforge.functions.text import embed_text, file_tag, redact, trim_all
 from loreforge.operators.chunking import chunk
 from loreforge.operators.state import content_hash, fold_notes, upsert_notes
 
@@ -48,6 +48,30 @@ def write_notes(notes: DataFrame, writes: DataFrame, kinds: list[str] | None = N
     return Written(after, fresh, chunk(fresh, "content_hash", "indexed"), jobs, writes.filter(~F.coalesce(ok, F.lit(False))))
 
 
+# The kinds that a file can be taken in as; transcripts and captions come of media alone.
+INGEST_KINDS = ["document", "note", "fact", "preference", "decision", "task_hint"]
+
+
+def ingest(asked: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files taken in as notes. asked: path, space_id, kind (null or '': document),
+    tags, title and summary (optional), at and seq. texts: path, text and error,
+    as sources.documents reads them. Returns the writes, for write_notes, with
+    source, title (the file's name where none is given), summary and ref, their
+    tags with that of the file's name; and what is refused (path, error): a kind
+    that is not taken in, a file that is not there, cannot be read or has no
+    text. A file asked for twice is written twice, which makes one note."""
+    kind = F.when(F.coalesce("kind", F.lit("")) == "", "document").otherwise(F.col("kind"))
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    optional = lambda c: F.trim(F.col(c)) if c in asked.columns else F.lit(None).cast("string")
+    rows = asked.withColumns({"kind": kind, "title": F.coalesce(F.nullif(optional("title"), F.lit("")), name), "summary": F.coalesce(optional("summary"), F.lit(""))}).join(texts.select("path", "text", F.col("error").alias("unread"), F.lit(True).alias("there")), "path", "left")
+    error = F.when(~F.col("kind").isin(*INGEST_KINDS), F.concat(F.lit("kind: "), "kind")).when(F.col("there").isNull(), "no such file").when(F.col("unread").isNotNull(), F.col("unread")).when(F.coalesce(trim_all(F.col("text")), F.lit("")) == "", "empty")
+    rows = rows.withColumn("error", error)
+    own, given = file_tag(F.col("path")), F.coalesce("tags", F.array().cast("array<string>"))
+    tags = F.when((own == "") | F.array_contains(given, own), given).otherwise(F.array_append(given, own))
+    writes = rows.filter("error is null").select("space_id", "kind", "text", tags.alias("tags"), F.concat(F.lit("ingest:"), "path").alias("source"), "title", "summary", F.col("path").alias("ref"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("why"), "at", "seq")
+    return writes, rows.filter("error is not null").select("path", "error")
+
+
 def insert_chunks(chunks: DataFrame, new: DataFrame, key: str = "note_id") -> DataFrame:
     """Chunks after an insert that leaves what is there: per note and ordinal the
     first stays."""

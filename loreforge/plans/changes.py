@@ -419,3 +419,23 @@ def migrate_extracted_raws(spark, sf):
     jobs = load(spark, sf, "jobs").select(F.when(F.col("type") == "click", "extract_session").otherwise(F.col("type")).alias("type"), "state", F.to_json(F.struct(F.col("k").alias("raw_id"))).alias("payload"))
     raws = load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"))
     return migrations.extracted_raws({"jobs": jobs, "raws": raws})["raws"].select("id", "extracted_at")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, concat('/in/', coalesce(source, ''), '/Doc ', doc_id, '.txt') AS path, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'note' WHEN 2 THEN 'fact' WHEN 3 THEN '' ELSE 'caption' END AS kind, coalesce(text, '') AS text, lang FROM documents),
+e AS (SELECT *, CASE WHEN kind = 'caption' THEN 'kind: caption' WHEN doc_id % 7 = 0 THEN 'no such file' WHEN regexp_replace(text, '[\\s\\v]+', '', 'g') = '' THEN 'empty' END AS error FROM d)
+SELECT path, CASE WHEN error IS NULL THEN CASE WHEN coalesce(kind, '') = '' THEN 'document' ELSE kind END END AS kind, CASE WHEN error IS NULL THEN concat(lang, ',file:doc-', doc_id) END AS tags,
+  CASE WHEN error IS NULL THEN concat('Doc ', doc_id, '.txt') END AS title, error FROM e"""
+)
+def ingest_files(spark, sf):
+    """All documents as files: what is written of them, and what is refused and why. Every seventh is not there."""
+    d = load(spark, sf, "documents")
+    i, path = F.col("doc_id"), F.concat(F.lit("/in/"), F.coalesce("source", F.lit("")), F.lit("/Doc "), F.col("doc_id").cast("string"), F.lit(".txt"))
+    kind = F.when(i % 5 == 0, F.lit(None)).when(i % 5 == 1, "note").when(i % 5 == 2, "fact").when(i % 5 == 3, "").otherwise("caption")
+    asked = d.select(path.alias("path"), F.lit(1).cast("long").alias("space_id"), kind.alias("kind"), F.array("lang").alias("tags"), i.alias("at"), i.alias("seq"))
+    files = spread(d.filter("doc_id % 7 <> 0").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+    texts = files.mapInPandas(documents._read, "path string, text string, error string")
+    writes, refused = writing.ingest(asked, texts)
+    done = writes.select(F.col("ref").alias("path"), "kind", F.array_join("tags", ",").alias("tags"), "title", F.lit(None).cast("string").alias("error"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("kind", "tags", "title")]
+    return done.unionByName(refused.select("path", *none, "error"))

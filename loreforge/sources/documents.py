@@ -130,7 +130,9 @@ def pptx_parts(data: bytes) -> Iterator[Part]:
 def epub_parts(data: bytes) -> Iterator[Part]:
     """A part for each chapter with text, in reading order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = next(e.attrib["full-path"] for e in ElementTree.fromstring(_entry(z, "META-INF/container.xml")).iter() if _local(e) == "rootfile")
+        root = next((e.attrib["full-path"] for e in ElementTree.fromstring(_entry(z, "META-INF/container.xml")).iter() if _local(e) == "rootfile"), None)
+        if root is None:
+            raise ValueError("no root file")
         opf = list(ElementTree.fromstring(_entry(z, root)).iter())
         items = {e.attrib["id"]: e.attrib["href"] for e in opf if _local(e) == "item"}
         for no, ref in enumerate((e.attrib["idref"] for e in opf if _local(e) == "itemref"), 1):
@@ -143,7 +145,9 @@ def joined(parts: Iterator[Part]) -> str:
     """Parts as one text; a labelled part without a section of its own opens one."""
     out = []
     for label, text in parts:
-        out += [marker(label)] * (label is not None and not text.startswith("⟦")) + [text]
+        if label is not None and not text.startswith("⟦"):
+            out.append(marker(label))
+        out.append(text)
     return "\n\n".join(out)
 
 
@@ -168,7 +172,7 @@ def read_document(name: str, data: bytes) -> tuple[str | None, str | None]:
         return None, f"unsupported: {ext}"
     try:
         text = READERS.get(ext, plain_text)(data).replace("\r\n", "\n").strip()
-    except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return None, f"{type(e).__name__}: {e}"[:300]
     return (text, None) if text else (None, "empty")
 
@@ -181,7 +185,7 @@ def read_parts(name: str, data: bytes) -> tuple[list[Part], str | None]:
         return ([(None, text)] if text else []), error
     try:
         parts = [(label, t) for label, text in PARTS[ext](data) if (t := text.replace("\r\n", "\n").strip())]
-    except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return [], f"{type(e).__name__}: {e}"[:300]
     return parts, None if parts else "empty"
 

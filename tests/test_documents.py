@@ -74,3 +74,20 @@ def test_windows_say_what_went(spark):
 
 def test_marker_is_cut():
     assert marker(" a\n b ") == "⟦a b⟧" and marker("x" * 80) == "⟦" + "x" * 80 + "⟧" and marker("x" * 81) == "⟦" + "x" * 80 + "…⟧"
+
+
+def test_ingest(spark):
+    from loreforge.operators import state, writing
+
+    kind = "path string, space_id long, kind string, tags array<string>, title string, summary string, at int, seq int"
+    rows = [("/d/Spec Auth v2.md", 1, None, ["x"], " ", " s ", 1, 1), ("/d/…", 1, "note", None, "T", None, 2, 2), ("/d/a.md", 1, "caption", [], None, None, 3, 3), ("/gone", 1, "", [], None, None, 4, 4), ("/bad", 1, "", [], None, None, 5, 5), ("/d/b.md", 1, "fact", ["file:b"], None, None, 6, 6), ("/blank", 1, "", [], None, None, 7, 7)]
+    texts = [("/d/Spec Auth v2.md", "one", None), ("/d/…", "two", None), ("/d/a.md", "x", None), ("/bad", None, "BadZipFile: x"), ("/d/b.md", "three", None), ("/blank", " \n", None)]
+    writes, refused = writing.ingest(spark.createDataFrame(rows, kind), spark.createDataFrame(texts, "path string, text string, error string"))
+    assert sorted((r.ref, r.kind, r.tags, r.title, r.summary, r.source) for r in writes.collect()) == [
+        ("/d/Spec Auth v2.md", "document", ["x", "file:spec-auth-v2"], "Spec Auth v2.md", "s", "ingest:/d/Spec Auth v2.md"),
+        ("/d/b.md", "fact", ["file:b"], "b.md", "", "ingest:/d/b.md"),
+        ("/d/…", "note", [], "T", "", "ingest:/d/…"),
+    ]
+    assert sorted(map(tuple, refused.collect())) == [("/bad", "BadZipFile: x"), ("/blank", "empty"), ("/d/a.md", "kind: caption"), ("/gone", "no such file")]
+    none = state.fold_notes(spark.createDataFrame([], "space_id long, kind string, text string, tags array<string>, project string, why string, at int, seq int"))
+    assert writing.write_notes(none, writes).notes.count() == 3

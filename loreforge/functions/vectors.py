@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loreforge.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -22,17 +24,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Length 1; a zero vector stays."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)))
 
 
 def quantise(a: Column) -> Column:
     """struct(q array<tinyint>, scale): unit vector over scale, where scale is
     the largest part / 127, rounded half away from zero."""
-    u = unit(a)
-    scale = F.array_max(F.transform(u, F.abs)) / 127
-    q = F.when(scale == 0, F.transform(u, lambda x: F.lit(0).cast("tinyint"))).otherwise(F.transform(u, lambda x: F.round(x / scale).cast("tinyint")))
-    return F.struct(q.alias("q"), scale.alias("scale"))
+    part = lambda x, scale: F.when(scale == 0, 0).otherwise(F.round(x / scale)).cast("tinyint")
+    parts = lambda u, scale: F.struct(F.transform(u, lambda x: part(x, scale)).alias("q"), scale.alias("scale"))
+    # a value that a lambda names is made once a row, not once an element
+    return let(unit(a), lambda u: let(F.array_max(F.transform(u, F.abs)) / 127, lambda scale: parts(u, scale)))
 
 
 def dequantise(z: Column) -> Column:

@@ -285,6 +285,8 @@ class StoredIndex:
         """search.overlap_rerank from the postings of the queries' terms alone."""
         terms = queries.select("query_id", F.explode(F.array_distinct(fts_tokens(F.col("query")))).alias("term"))
         size = queries.select("query_id", F.size(F.array_distinct(fts_tokens(F.col("query")))).alias("size"))
+        # few rows that took a whole search; they are asked for twice
+        hits = written(hits, "index-hits")
         asked = written(hits.join(terms, "query_id", "left").select("query_id", F.col("chunk_id").alias("id"), "term"), "index-asked")
         words = asked.select("term").distinct().filter("term is not null")
         found = asked.filter("term is not null").groupBy(self._bucket().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()

@@ -17,6 +17,8 @@ from loreforge.sources.scratch import spread, written
 K1, B = 1.2, 0.75
 RRF_K = 60
 CANDIDATES, FUSED = 50, 20
+#: Queries whose scores against a block of vectors are held at a time.
+AT_ONCE = 64
 #: Query terms up to this number are sent to all executors.
 BROADCAST_TERMS = 500_000
 
@@ -79,22 +81,28 @@ def top(scored: DataFrame, limit: int, *order) -> DataFrame:
     return scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))).filter(F.col("pos") <= limit)
 
 
+def _matrix(rows: pa.StructArray) -> np.ndarray:
+    return rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
 def _block_topk(limit: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 q, v = batch.column("q")[row].values, batch.column("v")[row].values
-                qm, vm = (s.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) for s in (q, v))
-                qi, vi = q.field("id").to_numpy(), v.field("id").to_numpy()
-                norm = np.linalg.norm(qm, axis=1)[:, None] * np.linalg.norm(vm, axis=1)[None]
-                sim = np.divide(qm @ vm.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                if exclude_self:
-                    sim[qi[:, None] == vi[None]] = -np.inf
-                keep = min(limit, len(vi))
-                order = np.lexsort((np.broadcast_to(vi, sim.shape), -np.round(sim, 9)), axis=1)[:, :keep]
-                score = np.take_along_axis(sim, order, 1)
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep)[ok.ravel()]), pa.array(vi[order][ok]), pa.array(score[ok])], ["query_id", "id", "score"])
+                vm, vi = _matrix(v), v.field("id").to_numpy()
+                vn, keep = np.linalg.norm(vm, axis=1)[None], min(limit, len(vi))
+                for lo in range(0, len(q), AT_ONCE):
+                    some = q.slice(lo, AT_ONCE)
+                    qm, qi = _matrix(some), some.field("id").to_numpy()
+                    norm = np.linalg.norm(qm, axis=1)[:, None] * vn
+                    sim = np.divide(qm @ vm.T, norm, out=np.zeros_like(norm), where=norm > 0)
+                    if exclude_self:
+                        sim[qi[:, None] == vi[None]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(vi, sim.shape), -np.round(sim, 9)), axis=1)[:, :keep]
+                    score = np.take_along_axis(sim, order, 1)
+                    ok = np.isfinite(score)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep)[ok.ravel()]), pa.array(vi[order][ok]), pa.array(score[ok])], ["query_id", "id", "score"])
 
     return run
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +20,36 @@ RRF_K = 60
 CANDIDATES, FUSED = 50, 20
 #: Queries whose scores against a block of vectors are held at a time.
 AT_ONCE = 64
+#: Tokens that are counted at a time.
+STEP = 1 << 17
 #: Query terms up to this number are sent to all executors.
 BROADCAST_TERMS = 500_000
 
 
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most STEP tokens, or of one text."""
+    ends, lo = batch.column(batch.schema.get_field_index("t")).offsets.to_numpy(), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each text with how often it has them. What is held
+    besides the batch that came is of a few texts, however large that batch is."""
+    for part in (s for batch in batches for s in _steps(batch)):
+        t = part.column(part.schema.get_field_index("t"))
+        row = pc.list_parent_indices(t)
+        if not len(row):
+            continue
+        got = pa.table({"row": row, "term": t.flatten()}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+        at = got["row"].combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0).take(at), part.column(1).take(at), got["term"].combine_chunks().cast(pa.string()), got["count_all"].combine_chunks().cast(pa.int32())], ["id", "doc_len", "term", "tf"]
+        )
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """The tokens of every chunk: id, doc_len and t. Where it is used more than
@@ -41,11 +68,14 @@ class TextIndex:
 
     def postings(self, words: DataFrame | None = None) -> DataFrame:
         """id, doc_len and, per term (of words, column term, if given), term and
-        tf. Texts without tokens have no row."""
-        rows = self.tokens.select("id", "doc_len", F.explode("t").alias("term"))
-        if words is not None:
-            rows = rows.join(words, "term", "left_semi")
-        return rows.groupBy("id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        tf. Texts without tokens have no row. A text is one row of tokens, so it is
+        counted where it lies and nothing is shuffled."""
+        rows = self.tokens.select("id", "doc_len", "t").mapInArrow(_term_counts, f"id {dict(self.tokens.dtypes)['id']}, doc_len int, term string, tf int")
+        return rows if words is None else rows.join(words, "term", "left_semi")
+
+    def containing(self, words: DataFrame) -> DataFrame:
+        """term and df, in how many texts it is, of the words (column term) that any has."""
+        return self.tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(words, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def stats(self) -> DataFrame:
         """n_docs (all rows), n_tokens and avgdl (mean tokens), over the whole index."""
@@ -64,8 +94,8 @@ def bm25(index: TextIndex, queries: DataFrame, allowed: DataFrame | None = None,
     words = terms.select("term").distinct()
     near = F.broadcast if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
     post = index.postings(near(words))
-    # one aggregate over the matching postings gives the frequencies and is read again for the scores
-    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # written, as few rows that a whole pass over the texts makes
+    idf = written(index.containing(near(words)), "text-df")
     weight = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = terms.join(idf, "term").crossJoin(F.broadcast(index.stats())).select("query_id", "term", "qf", "avgdl", F.when(weight > 0, weight).otherwise(F.lit(1e-6)).alias("idf"))
     if allowed is not None:

@@ -27,17 +27,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import fts_tokens
-from loreforge.operators.search import B, BROADCAST_TERMS, CANDIDATES, K1, TextIndex, top
+from loreforge.operators.search import B, BROADCAST_TERMS, CANDIDATES, K1, STEP, TextIndex, _steps, _term_counts, top
 from loreforge.sources.scratch import shared_dir, spread, written
 
 BLOCK = 128
-#: Tokens that are counted at a time.
-STEP = 1 << 17
 #: A term with more postings than this is laid out by several tasks.
 SHARD = 1 << 16
 #: Blocks of its strongest terms that a query looks at for its first bound.
@@ -53,30 +50,6 @@ LAYOUT = "2"
 _BLOCKS = "term string, n int, max_tf int, min_len int, p array<struct<id:{id},doc_len:int,tf:int>>, bucket int"
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of at most STEP tokens, or of one text."""
-    ends, lo = batch.column(batch.schema.get_field_index("t")).offsets.to_numpy(), 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct tokens of each text with how often it has them. What is held
-    besides the batch that came is of a few texts, however large that batch is."""
-    for part in (s for batch in batches for s in _steps(batch)):
-        t = part.column(part.schema.get_field_index("t"))
-        row = pc.list_parent_indices(t)
-        if not len(row):
-            continue
-        got = pa.table({"row": row, "term": t.flatten()}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
-        at = got["row"].combine_chunks()
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0).take(at), part.column(1).take(at), got["term"].combine_chunks().cast(pa.string()), got["count_all"].combine_chunks().cast(pa.int32())], ["id", "doc_len", "term", "tf"]
-        )
-
-
 class StoredIndex:
     """The index under `path`, a folder that the cluster shares. One batch is
     committed at a time. Ids are of one type, `id_type`; a term's bucket is one
@@ -335,4 +308,4 @@ def index_of(spark: SparkSession, files: str, id_col: str, text_col: str) -> Sto
     return index
 
 
-__all__ = ["StoredIndex", "TextIndex", "index_of"]
+__all__ = ["STEP", "StoredIndex", "TextIndex", "_steps", "index_of"]

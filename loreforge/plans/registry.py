@@ -13,7 +13,7 @@ from loreforge.functions import dates, text, vectors
 from loreforge.operators import chunking, reports, search, state, textindex, transcripts
 from loreforge.sources import documents, sinks
 from loreforge.sources.adapters import cte, load
-from loreforge.sources.scratch import spread
+from loreforge.sources.scratch import spread, written
 from loreforge.streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,6 +225,23 @@ def recall_project_boost(spark, sf):
     return got.drop("chunk_id").withColumn("score", F.round("score", 9))
 
 
+def _near(rows):
+    """Broadcast if the rows (of terms of queries) are few."""
+    return F.broadcast(rows) if rows.limit(search.BROADCAST_TERMS + 1).count() <= search.BROADCAST_TERMS else rows
+
+
+def _passages(docs, index, rare, q):
+    """query_id and id of the texts that have a passage's term in rare (query_id,
+    term) and hold the passage. Texts are compared as they are read, where the
+    passages are few enough to come to them; else by joins."""
+    if rare.limit(search.BROADCAST_TERMS + 1).count() > search.BROADCAST_TERMS:
+        found = index.postings(rare.select("term").distinct()).join(rare, "term").select("query_id", "id").join(q, "query_id").join(docs, "id")
+        return found.filter(F.contains("text", F.col("query"))).select("query_id", "id")
+    words = F.broadcast(rare.agg(F.collect_set("term").alias("words")))
+    met = docs.crossJoin(words).select("id", "text", F.explode(F.array_intersect(text.fts_tokens(F.col("text")), F.col("words"))).alias("term"))
+    return met.join(F.broadcast(rare.join(q, "query_id")), "term").filter(F.contains("text", F.col("query"))).select("query_id", "id")
+
+
 @query("WITH " + _fill(_BM25, where="", n=50) + ", rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''), per AS (SELECT query_id, avg(CASE WHEN pos <= 10 THEN 1.0 ELSE 0 END) AS recall, coalesce(max(1.0 / pos), 0) AS rr FROM rel LEFT JOIN bmr USING (query_id, id) GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM per")
 def recall_eval_at10(spark, sf):
     docs, q = _docs(spark, sf), _queries(spark, sf)
@@ -234,10 +251,9 @@ def recall_eval_at10(spark, sf):
     # text's: only texts that share the rarest of the others are compared; passages without others with all texts
     t = text.fts_tokens(F.col("query"))
     inner = q.filter("query <> ''").select("query_id", F.explode(F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))).alias("term"))
-    post = index.postings(inner.select("term").distinct())
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.containing(_near(inner.select("term").distinct()))
     rare = inner.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("m")).select("query_id", F.col("m.term").alias("term"))
-    near = rare.join(post.select("id", "term"), "term").select("query_id", "id").join(q, "query_id").join(docs, "id").filter(F.contains("text", F.col("query"))).select("query_id", "id")
+    near = _passages(docs, index, written(rare, "eval-rare"), q)
     # such passages are one or two words, and few: a stated query set
     short = F.broadcast(q.filter("query <> ''").join(inner.select("query_id").distinct(), "query_id", "left_anti"))
     rest = docs.join(short, F.contains("text", F.col("query"))).select("query_id", "id")

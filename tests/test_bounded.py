@@ -51,3 +51,25 @@ def test_scores_of_few_queries_are_held():
     best = np.argsort(-sim, axis=1)[:, :3] + 500
     rows = [(r["query_id"], r["id"]) for b in got for r in b.to_pylist()]
     assert rows == [(i, int(x)) for i in range(512) for x in best[i]]
+
+
+def test_postings_and_passages_without_a_shuffle_of_texts(spark, monkeypatch):
+    from loreforge.plans import registry
+
+    rows = [(1, "The cat sat on the mat"), (2, "a cat, the catalogue"), (3, None), (4, ""), (5, "Zoë sat on the mat again")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    index = search.TextIndex.build(docs)
+    post = index.postings()
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.doc_len, r.term): r.tf for r in post.filter("id < 3").collect()} == {
+        (1, 6, "the"): 2, (1, 6, "cat"): 1, (1, 6, "sat"): 1, (1, 6, "on"): 1, (1, 6, "mat"): 1, (2, 4, "a"): 1, (2, 4, "cat"): 1, (2, 4, "the"): 1, (2, 4, "catalogue"): 1}
+    words = spark.createDataFrame([("the",), ("zoe",), ("none",)], "term string")
+    assert {(r.term, r.df) for r in index.containing(words).collect()} == {("the", 3), ("zoe", 1)}
+    q = spark.createDataFrame([(7, "sat on the mat"), (8, "at on th"), (9, "cat, the cat"), (10, "on the mat sat")], "query_id long, query string")
+    rare = spark.createDataFrame([(7, "on"), (8, "on"), (9, "the"), (10, "the")], "query_id long, term string")
+    want = {(7, 1), (7, 5), (8, 1), (8, 5), (9, 2)}
+    one = registry._passages(docs, index, rare, q)
+    assert {tuple(r) for r in one.collect()} == want
+    assert "hashpartitioning(id" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert {tuple(r) for r in registry._passages(docs, index, rare, q).collect()} == want

@@ -38,7 +38,8 @@ def quantise(a: Column) -> Column:
 
 def dequantise(z: Column) -> Column:
     """The vector that a quantise() struct stands for."""
-    return F.transform(z["q"], lambda x: x.cast("double") * z["scale"])
+    # named, or the struct would be made anew for each element
+    return let(z, lambda s: F.transform(s["q"], lambda x: x.cast("double") * s["scale"]))
 
 
 def legacy_vector(blob: Column, dim: int) -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from loreforge.operators import search
 from loreforge.operators import textindex as T
 from loreforge.sources import documents
+from pyspark.sql import functions as F
 
 
 def test_tokens_are_counted_a_few_texts_at_a_time():
@@ -73,3 +74,21 @@ def test_postings_and_passages_without_a_shuffle_of_texts(spark, monkeypatch):
     assert "hashpartitioning(id" not in one._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
     assert {tuple(r) for r in registry._passages(docs, index, rare, q).collect()} == want
+
+
+def test_a_stored_vector_is_made_once_a_row(spark):
+    from loreforge.functions import vectors
+
+    rows = spark.createDataFrame([([float(x) for x in range(64)], 1), ([0.0] * 64, 2), (None, 3)], "v array<double>, id int")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("struct<q:array<tinyint>,scale:double>")
+    def stored(v):
+        made.add(1)
+        return None if v is None else ([int(x) for x in v], 0.5)
+
+    got = {r.id: r.w for r in rows.select("id", vectors.dequantise(stored("v")).alias("w")).collect()}
+    assert got == {1: [x / 2 for x in range(64)], 2: [0.0] * 64, 3: None} and made.value == 3
+    z = vectors.quantise(F.col("v"))
+    plan = rows.select(vectors.dequantise(z).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max") == 1

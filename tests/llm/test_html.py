@@ -129,3 +129,66 @@ def test_parts_of_an_article_go_only_for_what_they_are():
     page = "<article><p>own</p>" + "".join(f'<div class="{c}">text of {c}</div>' for c in kept + gone) + '<section id="comments-and-notes-on-law">law</section></article>'
     got = [t for region, t in blocks(page)[0] if region > 0]
     assert got == ["own", *(f"text of {c}" for c in kept), "law"]
+
+
+def test_one_article_that_is_a_teaser(spark):
+    own = {p: " ".join(f"own{p}x{i}" for i in range(40)) for p in range(4)}
+    teaser = "<h2>News of today</h2><p>read more about this and other news of today on our site every day</p>"
+    copy = " ".join(f"copy{i}" for i in range(30))
+    rows = [(p, f"http://a.example/{p}", f"<div>{own[p]}</div><article>{teaser}</article>") for p in range(4)]
+    rows += [
+        (4, "http://b.example/", rows[0][2]),  # nothing repeats on this host
+        (5, "http://c.example/1", f"<article><p>{copy}</p></article><div>{own[0]}</div>"),  # copies, but not short against what stands around them
+        (6, "http://c.example/2", f"<article><p>{copy}</p></article><div>{own[1]}</div>"),
+        (7, "http://d.example/", rows[0][2]),  # one page twice
+        (7, "http://d.example/", rows[0][2]),
+    ]
+    got = sorted((r.page_id, r.text) for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
+    short = "News of today read more about this and other news of today on our site every day"
+    assert got == sorted([*own.items(), (4, short), (5, copy), (6, copy), (7, short), (7, short)])
+
+
+def brute_judged(pages, long_run=12, short_run=4, share=0.3):
+    """(host, page): tokens and unique tokens of the article, unique tokens outside,
+    of (region, text) blocks, by comparing all pages of a host with each other."""
+
+    def prefix(found, i, n):
+        for j in range(i + 1, len(found) + 1):
+            if sum(len(t.split(" ")) for _, t in found[i:j]) >= n:
+                return tuple(t for _, t in found[i:j])
+
+    out = {}
+    for (host, page), found in pages.items():
+        others = [f for (h, p), f in pages.items() if h == host and p != page]
+        gone = set()
+        for n, least in ((long_run, 1), (short_run, max(1, share * (len(others) + 1) - 1))):
+            for i in range(len(found)):
+                w = prefix(found, i, n)
+                if w and sum(any(prefix(f, j, n) == w for j in range(len(f))) for f in others) >= least:
+                    gone.update(range(i, i + len(w)))
+        sums = [sum(len(t.split(" ")) for i, (r, t) in enumerate(found) if r == region and (i not in gone or all_)) for region, all_ in ((1, True), (1, False), (0, False))]
+        out[host, page] = tuple(sums)
+    return out
+
+
+def test_every_page_is_judged_by_the_array(spark, monkeypatch):
+    from loreforge.llm import html_main
+
+    rng, pages = random.Random(11), {}
+    for host, n in (("a", 2), ("b", 5), ("c", 14)):
+        stock = [" ".join(f"w{rng.randint(0, 5)}" for _ in range(rng.randint(1, 15))) for _ in range(14)]
+        for p in range(n):
+            parts = lambda: "".join(f"<p>{rng.choice(stock) if rng.random() < 0.6 else f'u{p} ' * rng.randint(1, 6) + str(rng.random())}</p>" for _ in range(rng.randint(1, 6)))  # noqa: B023, E731
+            pages[host, p] = f"<nav><p>{stock[0]}</p><p>{stock[1]}</p></nav>{parts()}<article>{parts()}</article>{parts()}"
+    rows = [(f"{h}-{p}", f"http://{h}.example/{p}", x) for (h, p), x in pages.items()]
+    seen, judge = {}, html_main.judged_articles
+
+    def judged(streams, share):
+        out = judge(streams, share)
+        seen.update({r.id: (r.tokens, r.unique, r.outside) for r in streams.join(out, "row").collect()})
+        return out
+
+    monkeypatch.setattr(html_main, "judged_articles", judged)
+    main_text(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(4))
+    assert seen == {f"{h}-{p}": x for (h, p), x in brute_judged({k: blocks(x)[0] for k, x in pages.items()}).items()}
+    assert any(a[1] < a[0] for a in seen.values()) and any(a[2] for a in seen.values())
